@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pii, quality, secrets
+from . import bpe, exact_dedup, mixing, pii, quality, secrets, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -13,6 +13,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(documents(spark, sf_dir, "doc_id", "text")))
 
@@ -21,19 +26,32 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_files.write(documents(spark, sf_dir, "doc_id", "text"), token_files.new_folder(spark), end_id=2)
+    return token_files.read_documents(shards).withColumnRenamed("id", "doc_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.scan(documents(spark, sf_dir, "doc_id", "text")))
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
     "op5_quality": op5_quality,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
 }
 
