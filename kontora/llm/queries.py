@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, pii, quality, secrets, token_files
+from . import bpe, exact_dedup, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -48,6 +57,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
@@ -55,7 +66,33 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
+#: The words of a text, as SQL.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 ORACLES = {
+    "op3_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM w WHERE len(ws) >= 20),
+        g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM p),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM g WHERE nth > 1),
+        k AS (SELECT w.doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM w),
+        left_over AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.i) AS kept FROM k LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY k.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, count(gone.i) AS n_removed, sha256(coalesce(any_value(kept), '')) AS kept_sha256
+        FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id LEFT JOIN left_over ON left_over.doc_id = w.doc_id
+        GROUP BY w.doc_id, ws
+    """,
+    "op4_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM p),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
+        SELECT v AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(u) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = v GROUP BY v
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
