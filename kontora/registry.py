@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import audit_queries
+
 FLAGSHIP = "purchases_by_product"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_PARTS = (audit_queries,)
+QUERIES = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLES = {k: q for part in _PARTS for k, q in part.ORACLES.items()}
