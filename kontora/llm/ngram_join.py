@@ -3,7 +3,7 @@
 Each document is its set of shingles, as 64-bit fingerprints, in one global order: shingles that a fixed-size count sketch
 of the whole corpus shows as frequent come last, the rest by value. Two sets of at least the wanted similarity share a
 shingle of their prefixes, the first quarter and one. Documents with equal sets are put together first. Pairs that share
-a prefix shingle pass the length filter, the positional filter and, as suffix filter, a bound on the difference of the
+a prefix shingle pass the length filter and, as positional and suffix filter in one, a bound on the difference of the
 sets from their counts in 64 ranges of fingerprints; what is left is verified once, on the whole sets.
 
 A group of many near copies would make pairs with the square of its size. So each prefix shingle first pairs its documents
@@ -187,12 +187,6 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
             return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
 
 
-def _may_match(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: int) -> Column:
-    """Length and positional filter on set sizes and places in the prefix: can the overlap still reach what is needed?"""
-    need = F.ceil((na + nb) * F.lit(num) / F.lit(num + den))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(pa_, pb) + 1 + F.least(na - pa_, nb - pb) - 1 >= need)
-
-
 def _close(na: Column, nb: Column, ha: Column, hb: Column, num: int, den: int) -> Column:
     """Suffix filter: sets differ at least by the differences of their counts in each range. Implies the length filter."""
     need = F.ceil((na + nb) * F.lit(num) / F.lit(num + den))
@@ -210,41 +204,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     classes = rarity(sketch(rows, n))
     feats = stored(features(rows, classes, n, num, den), "shingle-features")
-    # equal sets first: the least id stands for all
-    groups = stored(feats.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("id")), "equal-sets")
-    alone = feats.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    tokens = alone.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.select("token", "id", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
+    # equal sets first: the least id stands for all of them wherever pairs are looked at
+    groups = feats.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
+    slim = stored(feats.select("id", "n", "one", "two", "hist").join(groups, ["one", "two", "n"]).select("id", "rep", "n", "hist"), "shingle-sets-by-id")
+    tokens = feats.select(F.explode("prefix").alias("token"), "id")
     heads = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1").drop("c")
     met = stored(tokens.join(heads, "token"), "shared-prefixes")
 
-    slim = feats.select("id", F.col("n").alias("size"), "hist").dropDuplicates(["id"])
-    of = lambda k: slim.select(F.col("id").alias(k), F.col("size").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
+    of = lambda k: slim.select(F.col("id").alias(k), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        found = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
-        return found.filter(_close(F.col("na"), F.col("nb"), F.col("ha"), F.col("hb"), num, den)).select("a", "b")
+        """Pairs of different sets, each once, that pass the length and suffix filters."""
+        found = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").filter("ra <> rb")
+        near = found.filter(_close(F.col("na"), F.col("nb"), F.col("ha"), F.col("hb"), num, den))
+        return near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+    def verified(pairs: DataFrame, what: str) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return stored(verify(pairs, sets_of(rows, ids, n), num, den).distinct(), what)
 
     first = stored(likely(met.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))), "head-pairs")
-    sets = stored(sets_of(rows, met.select("id").distinct(), n).dropDuplicates(["id"]), "shingle-sets")
-    links = stored(verify(first, sets, num, den), "head-links")
+    links = verified(first, "head-links")
     roots = components(links)
 
     # pairs between components: only shingles whose documents are not all in one
-    placed = met.select("token", "id", "n", "pos").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = met.select("token", "id").join(slim.select("id", "rep", "n"), "id").select("token", F.col("rep").alias("id"), "n").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x <> y and c > 2").select("token")
     left = stored(placed.join(mixed, "token", "left_semi"), "mixed-prefixes")
     a, b = left.alias("a"), left.alias("b")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    meet = meet & _may_match(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), num, den)
-    rest = a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(verify(likely(rest), sets, num, den), "other-links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-
-    classes_of = feats.select("id", "n", "one", "two").join(groups.withColumnRenamed("id", "head"), ["one", "two", "n"], "left")
-    out = classes_of.join(roots.withColumnRenamed("id", "head"), "head", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "head", "id").alias("component_id"))
+    meet = meet & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
+    pairs = a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = stored(likely(pairs), "other-pairs")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(verified(rest, "other-links")))
+
+    out = feats.select("id", "n").join(slim.select("id", "rep").distinct(), "id", "left").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
