@@ -3,8 +3,8 @@
 Each document is its set of shingles, as 64-bit fingerprints, in one global order: shingles that a fixed-size count sketch
 of the whole corpus shows as frequent come last, the rest by value. Two sets of at least the wanted similarity share a
 shingle of their prefixes, the first quarter and one. Documents with equal sets are put together first. Pairs that share
-a prefix shingle pass the length filter and, as positional and suffix filter in one, a bound on the difference of the
-sets from their counts in 64 ranges of fingerprints; what is left is verified once, on the whole sets.
+a prefix shingle pass the length and positional filters and, as suffix filter, a bound on the difference of the sets from
+their counts in 64 ranges of fingerprints; what is left is verified once, on the whole sets.
 
 A group of many near copies would make pairs with the square of its size. So each prefix shingle first pairs its documents
 with the least of them only. Links found that way join components; then only pairs between components are made.
@@ -187,6 +187,12 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
             return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
 
 
+def _may_match(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: int) -> Column:
+    """Length and positional filter on set sizes and places in the prefix: can the overlap still reach what is needed?"""
+    need = F.ceil((na + nb) * F.lit(num) / F.lit(num + den))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= need)
+
+
 def _close(na: Column, nb: Column, ha: Column, hb: Column, num: int, den: int) -> Column:
     """Suffix filter: sets differ at least by the differences of their counts in each range. Implies the length filter."""
     need = F.ceil((na + nb) * F.lit(num) / F.lit(num + den))
@@ -207,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets first: the least id stands for all of them wherever pairs are looked at
     groups = feats.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
     slim = stored(feats.select("id", "n", "one", "two", "hist").join(groups, ["one", "two", "n"]).select("id", "rep", "n", "hist"), "shingle-sets-by-id")
-    tokens = feats.select(F.explode("prefix").alias("token"), "id")
+    tokens = feats.select("id", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "pos")
     heads = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1").drop("c")
     met = stored(tokens.join(heads, "token"), "shared-prefixes")
 
@@ -228,12 +234,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
 
     # pairs between components: only shingles whose documents are not all in one
-    placed = met.select("token", "id").join(slim.select("id", "rep", "n"), "id").select("token", F.col("rep").alias("id"), "n").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = met.select("token", "id", "pos").join(slim.select("id", "rep", "n"), "id").select("token", F.col("rep").alias("id"), "pos", "n").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x <> y and c > 2").select("token")
     left = stored(placed.join(mixed, "token", "left_semi"), "mixed-prefixes")
     a, b = left.alias("a"), left.alias("b")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    meet = meet & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
+    meet = meet & _may_match(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), num, den)
     pairs = a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = stored(likely(pairs), "other-pairs")
     if not rest.isEmpty():
