@@ -52,6 +52,7 @@ class Codec:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the cache before this one; parts that come again move over
         self.cache_size, self.cached_chars = cache_size, cached_chars
         bytes_of, added = _char_bytes(), self.lib.get_added_tokens_decoder()
         size = self.lib.get_vocab_size(with_added_tokens=True)
@@ -94,8 +95,12 @@ class Codec:
         cache = self.cache
         new = {p for ps in parts if ps for p in ps if p not in cache}
         if len(cache) + len(new) > self.cache_size:
-            cache.clear()
+            self.old, self.cache = cache, {}
+            cache = self.cache
             new = {p for ps in parts if ps for p in ps}
+        known = new & self.old.keys() if len(new) < len(self.old) else {p for p in new if p in self.old}
+        cache.update((p, self.old[p]) for p in known)
+        new -= known
         local: dict[str, bytes] = {}
         if new:
             for p, ids in self._parts(new):
