@@ -4,7 +4,7 @@ Each document is its set of shingles, as 64-bit fingerprints, in one global orde
 of the whole corpus shows as frequent come last, the rest by value. Two sets of at least the wanted similarity share a
 shingle of their prefixes, the first quarter and one. Documents with equal sets are put together first. Pairs that share
 a prefix shingle pass the length and positional filters and, as suffix filter, a bound on the difference of the sets from
-their counts in 64 ranges of fingerprints; what is left is verified once, on the whole sets.
+their counts in ranges of fingerprints; what is left is verified once, on the whole sets.
 
 A group of many near copies would make pairs with the square of its size. So each prefix shingle first pairs its documents
 with the least of them only. Links found that way join components; then only pairs between components are made.
@@ -25,7 +25,7 @@ from .words import WORD_BASE, Ranges, U, Words, mix, slices, words
 
 SKETCH_BITS = 20
 PARTS = 16
-RANGES = 64
+LOAD = 4
 FILTER_BITS = 23
 TEXT = 1
 
@@ -99,11 +99,13 @@ def features(rows: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -
                 take = np.arange(len(ranked)) - first[doc] < length[doc] if len(doc) else np.zeros(0, bool)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ranked[take].view(np.int64)))
                 total = lambda v: np.diff(np.concatenate([np.zeros(1, U), np.cumsum(v)])[first])  # noqa: B023, E731
-                hist = np.zeros((len(b), RANGES), np.int64)
-                np.add.at(hist, (doc, (value >> U(58)).astype(np.int64)), 1)
-                flat = pa.array(np.minimum(hist, 32767).astype(np.int16).ravel())
+                # four to eight shingles to a range, so that the counts of unrelated sets of any size differ
+                bits = np.floor(np.log2(np.maximum(size, 8) / LOAD)).astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(1 << bits)])
+                cell = (value >> (U(64) - bits[doc].astype(U))).astype(np.int64) + at[doc]
+                flat = pa.array(np.minimum(np.bincount(cell, minlength=at[-1]), 32767).astype(np.int16))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(size.astype(np.int64)), pa.array(total(mix(value, 41)).view(np.int64)), pa.array(total(mix(value, 43)).view(np.int64)), prefix, pa.ListArray.from_arrays(pa.array((np.arange(len(b) + 1) * RANGES).astype(np.int32)), flat)],
+                    [b.column(0), pa.array(size.astype(np.int64)), pa.array(total(mix(value, 41)).view(np.int64)), pa.array(total(mix(value, 43)).view(np.int64)), prefix, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat)],
                     names=["id", "n", "one", "two", "prefix", "hist"],
                 )
 
@@ -194,10 +196,18 @@ def _may_match(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: i
 
 
 def _close(na: Column, nb: Column, ha: Column, hb: Column, num: int, den: int) -> Column:
-    """Suffix filter: sets differ at least by the differences of their counts in each range. Implies the length filter."""
+    """Length and suffix filter: sets differ at least by the differences of their counts in each range.
+
+    A set has twice the ranges of one of half its size; two neighbouring ranges then count as one. Beyond twice, sizes
+    alone keep the sets apart.
+    """
     need = F.ceil((na + nb) * F.lit(num) / F.lit(num + den))
-    apart = F.aggregate(F.zip_with(ha, hb, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda a, x: a + x)
-    return apart <= na + nb - 2 * need
+    more = F.size(ha) >= F.size(hb)
+    fine, coarse = F.when(more, ha).otherwise(hb), F.when(more, hb).otherwise(ha)
+    both = lambda x, y: F.transform(y, lambda _, i: F.get(x, 2 * i).cast("int") + F.get(x, 2 * i + 1))
+    level = F.when(F.size(fine) == F.size(coarse), fine.cast("array<int>")).when(F.size(fine) == 2 * F.size(coarse), both(fine, coarse))
+    apart = F.aggregate(F.zip_with(level, coarse, lambda x, y: F.abs(x - y.cast("int"))), F.lit(0), lambda a, x: a + x)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart <= na + nb - 2 * need)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
