@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import UNITS, pack_size, unit
 from ..operators import matching, recipes, stock
+from ..shared import stored
 from ..views import Audits, oracle
 
 _VALUES = ", ".join(f"('{k}', '{u[0]}', '{u[2]}', {u[3]}, {str(u[4]).lower()}, {n})" for u in UNITS for n, ks in ((1, [u[0].lower()]), (2, u[5])) for k in ks)
@@ -100,6 +101,8 @@ def steps(sql: str) -> str:
     own = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
     rest = (",\n" + body[own.end() :]) if own else "\n" + body
     full = f"WITH RECURSIVE {ctes}{rest}" if ctes else body
+    if not ctes and own:
+        return oracle(body, recursive=True)
     return oracle(full, recursive=True)
 
 
@@ -118,18 +121,18 @@ class Audit:
     def matched(self) -> DataFrame:
         return matching.match_mapping(self.v.lines, self.v.mappings)
 
-    def routed(self) -> DataFrame:
+    def routed(self, reached: DataFrame | None = None) -> DataFrame:
+        """Routed lines; written once, as everything after them reads them several times."""
         v = self.v
-        return stock.route_lines(v.lines, v.mappings, v.products, v.categories, self.reached(), v.no_revenue)
+        return stored(stock.route_lines(v.lines, v.mappings, v.products, v.categories, reached or self.reached(), v.no_revenue), "routed")
 
     def balance(self) -> DataFrame:
-        v, reached = self.v, self.reached()
-        bought = stock.stock_purchases(stock.route_lines(v.lines, v.mappings, v.products, v.categories, reached, v.no_revenue))
-        return stock.stock_balance(bought, v.inventory, v.products, reached, v.no_revenue)
+        v, reached = self.v, stored(self.reached(), "reached")
+        return stock.stock_balance(stock.stock_purchases(self.routed(reached)), v.inventory, v.products, reached, v.no_revenue)
 
     def sellable(self) -> DataFrame:
         v = self.v
-        return stock.sellable(stock.resolve_yield(self.balance(), v.products, v.yield_choices, v.yield_rules))
+        return stock.sellable(stock.resolve_yield(stored(self.balance(), "balance"), v.products, v.yield_choices, v.yield_rules))
 
 
 def _q(f):
