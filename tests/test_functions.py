@@ -1,7 +1,6 @@
 """Column functions against small tables of values."""
 
 
-import pytest
 from pyspark.sql import functions as F
 
 from kontora.functions import numbers as n
@@ -35,31 +34,28 @@ def test_gcd(spark):
     assert one(spark, "a long, b long", [(12, 18), (0, 5), (7, 0), (9223372036854775806, 4)], n.gcd(F.col("a"), F.col("b"))) == [(6,), (5,), (7,), (2,)]
 
 
-@pytest.mark.parametrize(
-    ("printed", "pack"),
-    [
-        ("Kiste Pils 20 x 0,5 l", (20, 500, "ml")), ("Cola PET 24x0,33", (24, 330, None)), ("Pils Fass 50 l", (1, 50000, "ml")), ("6er 0,5 l Bier", (6, 500, "ml")),
-        ("Mehl 20 Stk", (20, 1000, "piece")), ("0,7 l 12 Stk", (12, 700, "ml")), ("Mehl Type 550", None), ("Karton 5 kg", (1, 5000, "g")), ("2001 x 1 l", None), (None, None),
-    ],
-)
-def test_pack_size(spark, printed, pack):
-    got = spark.createDataFrame([(printed,)], "s string").select(u.pack_size(F.col("s")).alias("p")).first().p
-    assert (None if got is None else (got["count"], got["size"], got["base"])) == pack
-
-
-@pytest.mark.parametrize(
-    ("counted", "piece", "code", "name", "manual", "quantity", "want"),
-    [
-        ("ml", None, "XCS", "24 x 0,33 l", None, 1000, (7920, 1, "pack", 7920)), ("g", None, "KGM", "x", None, 2000, (0, 1, "table", 2000)), ("ml", None, "XKG", "x", 50000, 12000, (50000, 1, "manual", 600000)),
-        ("piece", (400, "g"), "KGM", "Gurke", None, 1000, (1000, 400, "piece", 3)), ("piece", (400, "g"), "KGM", "Gurke", None, -2500, (1000, 400, "piece", -6)), ("piece", None, "XCS", "6 x 0,33 l", None, 1000, None),
-        ("g", (150, "g"), "H87", "Zwiebel", None, 2000, (150, 1, "piece", 300)), ("g", (150, "g"), "XCT", "20 Stk", None, 1000, (3000, 1, "piece", 3000)), (None, None, "KGM", "x", 5, 1000, None),
-    ],
-)
-def test_factor(spark, counted, piece, code, name, manual, quantity, want):
-    df = spark.createDataFrame([(counted, piece, code, name, manual, quantity)], "c string, p struct<amount:long,unit:string>, u string, n string, m long, q long")
-    f = u.factor(F.col("c"), F.col("p"), F.col("u"), u.pack_size(F.col("n")), F.col("m"))
-    got = df.select(f.alias("f"), u.converted_quantity(F.col("q"), F.col("u"), f).alias("q")).first()
-    assert (None if got.f is None else (got.f.factor, got.f.per, got.f.source, got.q)) == want
+PACKS = [
+    ("Kiste Pils 20 x 0,5 l", (20, 500, "ml")), ("Cola PET 24x0,33", (24, 330, None)), ("Pils Fass 50 l", (1, 50000, "ml")), ("6er 0,5 l Bier", (6, 500, "ml")),
+    ("Mehl 20 Stk", (20, 1000, "piece")), ("0,7 l 12 Stk", (12, 700, "ml")), ("Mehl Type 550", None), ("Karton 5 kg", (1, 5000, "g")), ("2001 x 1 l", None), (None, None),
+]
+FACTORS = [
+    ("ml", None, "XCS", "24 x 0,33 l", None, 1000, (7920, 1, "pack", 7920)), ("g", None, "KGM", "x", None, 2000, (0, 1, "table", 2000)), ("ml", None, "XKG", "x", 50000, 12000, (50000, 1, "manual", 600000)),
+    ("piece", (400, "g"), "KGM", "Gurke", None, 1000, (1000, 400, "piece", 3)), ("piece", (400, "g"), "KGM", "Gurke", None, -2500, (1000, 400, "piece", -6)), ("piece", None, "XCS", "6 x 0,33 l", None, 1000, None),
+    ("g", (150, "g"), "H87", "Zwiebel", None, 2000, (150, 1, "piece", 300)), ("g", (150, "g"), "XCT", "20 Stk", None, 1000, (3000, 1, "piece", 3000)), (None, None, "KGM", "x", 5, 1000, None),
+]
+
+
+def test_pack_size(spark):
+    got = {r.s: r.p for r in spark.createDataFrame([(s,) for s, _ in PACKS], "s string").select("s", u.pack_size(F.col("s")).alias("p")).collect()}
+    assert {s: None if p is None else (p["count"], p["size"], p["base"]) for s, p in got.items()} == dict(PACKS)
+
+
+def test_factor(spark):
+    rows = [(i, *f[:6]) for i, f in enumerate(FACTORS)]
+    df = spark.createDataFrame(rows, "i int, c string, p struct<amount:long,unit:string>, u string, n string, m long, q long").withColumn("pack", u.pack_size(F.col("n")))
+    df = df.withColumn("f", u.factor(F.col("c"), F.col("p"), F.col("u"), F.col("pack"), F.col("m"))).withColumn("out", u.converted_quantity(F.col("q"), F.col("u"), F.col("f")))
+    got = {r.i: None if r.f is None else (r.f.factor, r.f.per, r.f.source, r.out) for r in df.collect()}
+    assert got == {i: f[6] for i, f in enumerate(FACTORS)}
 
 
 def test_text_keys(spark):
