@@ -101,8 +101,6 @@ def steps(sql: str) -> str:
     own = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
     rest = (",\n" + body[own.end() :]) if own else "\n" + body
     full = f"WITH RECURSIVE {ctes}{rest}" if ctes else body
-    if not ctes and own:
-        return oracle(body, recursive=True)
     return oracle(full, recursive=True)
 
 

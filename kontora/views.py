@@ -144,7 +144,7 @@ def oracle(sql: str, recursive: bool = False) -> str:
     body = sql.strip()
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in needs(body))
     own = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
-    if own:
+    if own and ctes:
         recursive = recursive or bool(own[1])
         body = body[own.end() :]
         return f"WITH {'RECURSIVE ' if recursive else ''}{ctes},\n{body}"
