@@ -7,7 +7,8 @@ a prefix shingle pass the length and positional filters and, as suffix filter, a
 their counts in ranges of fingerprints; what is left is verified once, on the whole sets.
 
 A group of many near copies would make pairs with the square of its size. So each prefix shingle first pairs its documents
-with the least of them only. Links found that way join components; then only pairs between components are made.
+with the least of them only, then, where they are not all linked, with a few more drawn by hash. Links found that way join
+components; after that, all pairs that are left between components are made and verified, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .words import WORD_BASE, Ranges, U, Words, mix, slices, words
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+HEADS = 8
 PARTS = 16
 LOAD = 4
 FILTER_BITS = 23
@@ -55,16 +57,17 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for whole in batches:
-            for b in slices(whole, TEXT):
-                _, value = shingle_sets(words(b.column(TEXT)), n)
-                total += np.bincount((mix(value, 31) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=width)
+            cells = [(mix(shingle_sets(words(b.column(TEXT)), n)[1], 31) >> U(64 - SKETCH_BITS)).astype(np.int32) for b in slices(whole, TEXT)]
+            if cells:
+                total += np.bincount(np.concatenate(cells), minlength=width)
         for k, part in enumerate(np.split(total, PARTS)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([part.astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes()], pa.binary())})
+                size = next(x for x in (1, 2, 4, 8) if part.max() < 1 << (8 * x))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([part.astype(f"<u{size}").tobytes()], pa.binary())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         size = width // PARTS
-        total = sum(np.frombuffer(c, "<u4" if len(c) == 4 * size else "<u8").astype(np.int64) for c in pdf["counts"])
+        total = sum(np.frombuffer(c, f"<u{len(c) // size}").astype(np.int64) for c in pdf["counts"])
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
 
     out = np.zeros(width, np.int64)
@@ -76,7 +79,7 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
 
 def rarity(counts: np.ndarray) -> np.ndarray:
     """Class of each cell of the sketch: 0 up to what chance fills a cell with, then one more for every doubling."""
-    usual = 2 * counts.mean() + 8
+    usual = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 63).astype(np.uint8)
 
 
@@ -243,14 +246,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verified(first, "head-links")
     roots = components(links)
 
-    # pairs between components: only shingles whose documents are not all in one
-    placed = met.select("token", "id", "pos").join(slim.select("id", "rep", "n"), "id").select("token", F.col("rep").alias("id"), "pos", "n").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x <> y and c > 2").select("token")
-    left = stored(placed.join(mixed, "token", "left_semi"), "mixed-prefixes")
+    def mixed(roots: DataFrame) -> DataFrame:
+        """Rows of shingles whose documents are not all in one component, with size, place and component."""
+        placed = met.select("token", "id", "pos").join(slim.select("id", "rep", "n"), "id").select("token", F.col("rep").alias("id"), "pos", "n").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x <> y and c > 2").select("token")
+        return stored(placed.join(several, "token", "left_semi"), "mixed-prefixes")
+
+    def apart(x: str, y: str) -> Column:
+        c = lambda p, k: F.col(f"{p}.{k}")
+        return (c(x, "root") != c(y, "root")) & _may_match(c(x, "n"), c(y, "n"), c(x, "pos"), c(y, "pos"), num, den)
+
+    # a few more heads for these shingles, drawn by hash: most groups of near copies become one component that way
+    left = mixed(roots)
+    draw = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n", "pos")) for k in range(HEADS)]
+    drawn = left.groupBy("token").agg(F.array(*draw).alias("heads"))
+    near = left.join(drawn, "token").select(F.struct("id", "root", "n", "pos").alias("a"), F.explode(F.array_distinct("heads")).alias("b"))
+    near = near.filter(apart("a", "b")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = stored(likely(near), "drawn-pairs")
+    if not second.isEmpty():
+        links = links.unionByName(verified(second, "drawn-links"))
+        roots = components(links)
+        left = mixed(roots)
+
+    # every other pair between components
     a, b = left.alias("a"), left.alias("b")
-    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    meet = meet & _may_match(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), num, den)
-    pairs = a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & apart("a", "b")
+    pairs = a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
     rest = stored(likely(pairs), "other-pairs")
     if not rest.isEmpty():
         roots = components(links.unionByName(verified(rest, "other-links")))
