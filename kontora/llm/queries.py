@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_files
+from . import bpe, exact_dedup, licenses, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
@@ -69,7 +74,26 @@ QUERIES = {
 #: The words of a text, as SQL.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _canonical(x: str) -> str:
+    out = f"regexp_replace(lower({x}), '(?m)^[ \\t]*(?:copyright|©|\\(c\\))[^\\n]*$', '', 'g')"
+    for a, b in licenses.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
+
+
+_LICENSES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.KNOWN)
+
 ORACLES = {
+    "op6_licenses": f"""
+        WITH k AS (SELECT sha256({_canonical("text")}) AS digest, min(id) AS license_id FROM (VALUES {_LICENSES}) t(id, text) GROUP BY 1),
+        d AS (SELECT doc_id, coalesce(text, '') AS t, {_canonical("coalesce(text, '')")} AS c FROM documents),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+        n AS (SELECT doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices FROM l JOIN k ON k.digest = sha256({_canonical("line")}) WHERE regexp_matches(line, '(?i)licen[sc]') GROUP BY doc_id)
+        SELECT d.doc_id, k.license_id, coalesce(n.notices, '') AS notices, CASE WHEN c <> '' THEN sha256(c) END AS text_digest
+        FROM d LEFT JOIN k ON c <> '' AND k.digest = sha256(c) LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
     "op3_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
         p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM w WHERE len(ws) >= 20),

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from kontora.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, queries, secrets, substring_dedup, token_files
+from kontora.llm import bpe, exact_dedup, licenses, mixing, ngram_join, pii, quality, queries, secrets, substring_dedup, token_files
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, keep_id string, id string, t string"
@@ -220,6 +220,14 @@ def test_random_strings_are_told_from_structured_ones(spark):
     assert len(found & set(range(40))) >= 36 and not found & set(range(40, 70))
 
 
+def test_licenses(spark, docs, empty):
+    mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 100)
+    rows = [(1, "Copyright (c) 2020 A. B.\n\n" + mit.upper().replace(" ", "  ").replace("SUBLICENSE", "Sub-License")), (2, mit + " more"), (3, "x\nreleased under the MIT licence\ny"), (4, None), (5, "..."), (6, "Copyright 2020 A\nLicensed under CC BY 4.0")]
+    got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT"), 4: (None, ""), 5: (None, ""), 6: ("CC-BY-4.0", "CC-BY-4.0")}
+    assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == docs.count()
+
+
 def test_queries_have_their_columns(spark, sf):
     want = {"op1_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op5_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]}
     for name, columns in want.items():
