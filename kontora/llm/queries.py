@@ -96,8 +96,9 @@ ORACLES = {
     """,
     "op3_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
-        p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM w WHERE len(ws) >= 20),
-        g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM p),
+        h AS (SELECT doc_id, [md5(array_to_string(ws[i:i + 19], ' ')) FOR i IN generate_series(1, len(ws) - 19)] AS gs FROM w WHERE len(ws) >= 20),
+        p AS (SELECT doc_id, unnest(generate_series(1, len(gs))) AS i, unnest(gs) AS g FROM h),
+        g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM p),
         gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM g WHERE nth > 1),
         k AS (SELECT w.doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM w),
         left_over AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.i) AS kept FROM k LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY k.doc_id)
