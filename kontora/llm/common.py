@@ -70,8 +70,3 @@ def running_totals(df: DataFrame, order: list[str], value: str, out: str, what:
         .withColumn(out, F.col("_rt_off") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
         .drop("_rt_part", "_rt_sum", "_rt_off", "_rt_tie")
     )
-
-
-def fitted(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of a documents table; a missing one is an error, others are left out."""
-    return docs.select(*columns)
