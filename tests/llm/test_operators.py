@@ -200,6 +200,23 @@ def test_pii_base_spans(docs):
         assert got[d.doc_id] == (*map(len, spans), sha(",".join(sum(spans, []))))
 
 
+def test_pii_finds_forms_that_the_patterns_miss(spark):
+    rng = random.Random(7)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    around = lambda x: " ".join([*(word() for _ in range(9)), x, *(word() for _ in range(9))])
+    plain = [f"{word()}.{word()}@{word()}.example.org" for _ in range(150)] + [f"+{d(2)} ({d(3)}) {d(3)}-{d(4)}" for _ in range(150)]
+    missed = [f"{word()} (at) {word()} (dot) com" for _ in range(15)] + [f"{word()}[at]{word()}[dot]org" for _ in range(15)]
+    missed += [f"4{d(1)} ({d(3)}) {d(3)}-{d(4)}" for _ in range(15)]
+    clean = [d(16) for _ in range(100)] + [f"2024-0{1 + int(d(1)) % 9}-1{d(1)} 1{d(1)}" for _ in range(50)] + [d(8) for _ in range(50)] + [f"{word()} (at) {word()}" for _ in range(50)] + [word() for _ in range(50)]
+    df = spark.createDataFrame([(i, around(x)) for i, x in enumerate(plain + missed + clean)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [x.m for x in r.extra] for r in pii.scan(df).filter("size(extra) > 0").collect()}
+    low = len(plain)
+    found = [m for i, m in enumerate(missed, low) if any(m in x for x in got.get(i, []))]
+    assert len(found) >= 0.9 * len(missed)
+    assert not set(got) & set(range(low + len(missed), low + len(missed) + len(clean)))
+
+
 def test_secret_base_spans(docs):
     kinds = (
         ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(1)) >= 6),
