@@ -245,6 +245,22 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == docs.count()
 
 
+def test_whole_licence_files_and_headers(spark):
+    texts = dict(licenses.TEXTS)
+    mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 100)
+    rows = [("MIT", "", "The MIT License (MIT)\n\nCopyright (c) 2020 A. B.\n\n" + mit), ("MIT", "", "# MIT License\n\nCopyright 2020 A. B.\nAll rights reserved.\n\n" + mit)]
+    rows += [(k, None, t) for k, t in licenses.TEXTS]
+    rows += [(k, None, texts[k][: texts[k].index(licenses.END)]) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1")]
+    rows += [("BSD-3-Clause", "", "BSD 3-Clause License\n\nCopyright (c) 2019, X\nAll rights reserved.\n\n" + texts["BSD-3-Clause"].replace("the copyright holder nor", "X Ltd nor").replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* "))]
+    rows += [(None, "", mit + " more"), (None, "", "MIT License\n\n" + mit.replace("sublicense", "rent"))]
+    rows += [(None, "Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\nimport os\n')]
+    rows += [(None, "GPL-3.0", " * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for i, (license_id, notices, _) in enumerate(rows):
+        assert got[i].license_id == license_id, rows[i]
+        assert notices is None or got[i].notices == notices
+
+
 def test_queries_have_their_columns(spark, sf):
     want = {"op1_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op5_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]}
     for name, columns in want.items():
