@@ -237,6 +237,24 @@ def test_random_strings_are_told_from_structured_ones(spark):
     assert len(found & set(range(40))) >= 36 and not found & set(range(40, 70))
 
 
+def test_keys_in_paths_short_keys_and_letters(spark):
+    rng = random.Random(11)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    kinds = [
+        [("https://x.com/v1/my-app/", k, "") for k in (key(40, abc + "0123456789") for _ in range(40))],
+        [("lib/my_app-x/", k, "/end") for k in (key(40, abc + "0123456789+") for _ in range(40))],
+        [("", key(16, "0123456789abcdef"), "") for _ in range(40)], [("", key(16, abc + "0123456789"), "") for _ in range(40)], [("", key(40, abc), "") for _ in range(40)],
+    ]
+    words = ["src/main/java-8/org_example/configuration/settings", "abstractabstractabstractabstract", "AbstractSingletonProxyFactoryBeanNames", "this-is-a-long-title-of-some-article", "0000111100001111"] * 10
+    planted = [x for kind in kinds for x in kind]
+    df = spark.createDataFrame([(i, f"see {a}{k}{z} there") for i, (a, k, z) in enumerate(planted)] + [(1000 + i, f"see {w} there") for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r.doc_id: {x.m for x in r.extra} for r in secrets.scan(df).collect()}
+    recall = [sum(k in got[40 * j + i] for i, (_, k, _) in enumerate(kind)) / 40 for j, kind in enumerate(kinds)]
+    assert min(recall) >= 0.85, recall
+    assert not any(got[1000 + i] for i in range(len(words)))
+
+
 def test_licenses(spark, docs, empty):
     mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 100)
     rows = [(1, "Copyright (c) 2020 A. B.\n\n" + mit.upper().replace(" ", "  ").replace("SUBLICENSE", "Sub-License")), (2, mit + " more"), (3, "x\nreleased under the MIT licence\ny"), (4, None), (5, "..."), (6, "Copyright 2020 A\nLicensed under CC BY 4.0")]
