@@ -2,13 +2,17 @@
 
 Each document is its set of shingles, as 64-bit fingerprints, in one global order: shingles that a fixed-size count sketch
 of the whole corpus shows as frequent come last, the rest by value. Two sets of at least the wanted similarity share a
-shingle of their prefixes, the first quarter and one. Documents with equal sets are put together first. Pairs that share
-a prefix shingle pass the length and positional filters and, as suffix filter, a bound on the difference of the sets from
+shingle of their prefixes, the first quarter and one. Documents with equal sets are put together first.
+
+The first shingle that two sets share, in that order, has nothing in common before it. So the positional filter may ask
+that what is left of either set after that shingle still reaches the overlap that is needed; a pair of similar sets passes
+it at its first common shingle, whatever the others do. As suffix filter comes a bound on the difference of the sets from
 their counts in ranges of fingerprints; what is left is verified once, on the whole sets.
 
 A group of many near copies would make pairs with the square of its size. So each prefix shingle first pairs its documents
-with the least of them only, then, where they are not all linked, with a few more drawn by hash. Links found that way join
-components; after that, all pairs that are left between components are made and verified, so that no link is lost.
+with one head only, the one with the fewest shingles before it: in a group of copies that is the text which the others
+were made from, and the one that passes the positional filter with all that pass it with anyone. Links found that way
+join components; after that, all pairs that are left between components are made and verified, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +30,14 @@ from .common import stored
 from .words import WORD_BASE, Ranges, U, Words, mix, slices, words
 
 SKETCH_BITS = 22
-HEADS = 8
 PARTS = 16
+#: Arrays that are added up in one task.
+FAN = 64
 LOAD = 4
 FILTER_BITS = 23
 TEXT = 1
+#: Bits of a key that hold the size of the set; the place in the prefix stands above them.
+SIZE_BITS = 32
 
 
 def shingle_sets(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -50,39 +58,60 @@ def shingle_sets(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return doc[head], value[head]
 
 
+def cells(value: np.ndarray) -> np.ndarray:
+    """The cell of the sketch that each shingle counts in."""
+    return (mix(value, 31) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """Counts of shingles by the top bits of their fingerprints, over all documents; of fixed size."""
+    """Rarity class of each cell of a count sketch over the shingles of all documents, one byte each; of fixed size.
+
+    Class 0 goes up to what chance fills a cell with, then comes one more for every doubling. The arrays of the tasks are
+    added up FAN at a time, level by level; what comes to the driver are the classes.
+    """
     width = 1 << SKETCH_BITS
+    size = width // PARTS
+    sums = "part int, at int, counts binary, total long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for whole in batches:
-            cells = [(mix(shingle_sets(words(b.column(TEXT)), n)[1], 31) >> U(64 - SKETCH_BITS)).astype(np.int32) for b in slices(whole, TEXT)]
-            if cells:
-                total += np.bincount(np.concatenate(cells), minlength=width)
+            for b in slices(whole, TEXT):
+                np.add.at(total, *np.unique(cells(shingle_sets(words(b.column(TEXT)), n)[1]), return_counts=True))
+        at = TaskContext.get().partitionId()
         for k, part in enumerate(np.split(total, PARTS)):
             if part.any():
-                size = next(x for x in (1, 2, 4, 8) if part.max() < 1 << (8 * x))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([part.astype(f"<u{size}").tobytes()], pa.binary())})
+                bytes_each = next(x for x in (1, 2, 4, 8) if part.max() < 1 << (8 * x))
+                packed = part.astype(f"<u{bytes_each}").tobytes()
+                schema = pa.schema([("part", pa.int32()), ("at", pa.int32()), ("counts", pa.binary()), ("total", pa.int64())])
+                yield pa.RecordBatch.from_pydict({"part": [k], "at": [at], "counts": [packed], "total": [int(part.sum())]}, schema=schema)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = width // PARTS
         total = sum(np.frombuffer(c, f"<u{len(c) // size}").astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "at": pdf["at"].iloc[:1], "counts": [total.astype("<i8").tobytes()], "total": [int(total.sum())]})
 
-    out = np.zeros(width, np.int64)
-    # PARTS rows of fixed size; counts of one part from each task meet in one task as PARTS small arrays
-    for r in rows.mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
-        out[r["part"] * (width // PARTS) : (r["part"] + 1) * (width // PARTS)] = np.frombuffer(r["counts"], "<i8")
+    level = rows.mapInArrow(count, sums)
+    while True:
+        level = level.withColumn("at", F.floor(F.col("at") / F.lit(FAN)).cast("int")).groupBy("part", "at").applyInPandas(add, sums)
+        level = stored(level, "shingle-counts")
+        seen = level.agg(F.max("at").alias("last"), F.sum("total").alias("total")).first()
+        if not seen["last"]:
+            break
+    mean = (seen["total"] or 0) / width
+    usual = mean + 6 * np.sqrt(mean) + 8
+
+    def classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            counts = [np.frombuffer(c, "<i8") for c in pdf["counts"]]
+            kinds = [np.clip(np.floor(np.log2(np.maximum(c, 1) / usual)) + 1, 0, 63).astype(np.uint8).tobytes() for c in counts]
+            yield pd.DataFrame({"part": pdf["part"], "kinds": kinds})
+
+    out = np.zeros(width, np.uint8)
+    for r in level.select("part", "counts").mapInPandas(classes, "part int, kinds binary").collect():  # PARTS rows
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["kinds"], np.uint8)
     return out
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Class of each cell of the sketch: 0 up to what chance fills a cell with, then one more for every doubling."""
-    usual = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 63).astype(np.uint8)
-
-
 def features(rows: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """id, n, two fingerprints of the set, its prefix in global order and its counts by range of fingerprints."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # one byte per cell of the fixed-size sketch
@@ -95,22 +124,21 @@ def features(rows: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -
                 doc, value = shingle_sets(words(b.column(TEXT)), n)
                 size = np.bincount(doc, minlength=len(b))
                 first = np.concatenate([[0], np.cumsum(size)])
-                rank = cls[(mix(value, 31) >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((value, rank, doc))
+                order = np.lexsort((value, cls[cells(value)], doc))
                 ranked = value[order]
                 length = np.where(size > 0, size - (num * size + den - 1) // den + 1, 0)
                 take = np.arange(len(ranked)) - first[doc] < length[doc] if len(doc) else np.zeros(0, bool)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ranked[take].view(np.int64)))
-                total = lambda v: np.diff(np.concatenate([np.zeros(1, U), np.cumsum(v)])[first])  # noqa: B023, E731
+                ends = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+                prefix = pa.ListArray.from_arrays(ends, pa.array(ranked[take].view(np.int64)))
+                total = lambda v: pa.array(np.diff(np.concatenate([np.zeros(1, U), np.cumsum(v)])[first]).view(np.int64))  # noqa: B023, E731
                 # four to eight shingles to a range, so that the counts of unrelated sets of any size differ
                 bits = np.floor(np.log2(np.maximum(size, 8) / LOAD)).astype(np.int64)
                 at = np.concatenate([[0], np.cumsum(1 << bits)])
                 cell = (value >> (U(64) - bits[doc].astype(U))).astype(np.int64) + at[doc]
                 flat = pa.array(np.minimum(np.bincount(cell, minlength=at[-1]), 32767).astype(np.int16))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(size.astype(np.int64)), pa.array(total(mix(value, 41)).view(np.int64)), pa.array(total(mix(value, 43)).view(np.int64)), prefix, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat)],
-                    names=["id", "n", "one", "two", "prefix", "hist"],
-                )
+                hist = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat)
+                columns = [b.column(0), pa.array(size.astype(np.int64)), total(mix(value, 41)), total(mix(value, 43)), prefix, hist]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "one", "two", "prefix", "hist"])
 
     return rows.mapInArrow(make, f"id {kind}, n long, one long, two long, prefix array<long>, hist array<short>")
 
@@ -127,8 +155,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
 
     out = np.zeros(size // 8, np.uint8)
-    cells = ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("cell")).coalesce(16)
-    for r in cells.mapInArrow(mark, "bits binary").collect():  # 16 bitmaps at most
+    places = ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("cell")).coalesce(16)
+    for r in places.mapInArrow(mark, "bits binary").collect():  # 16 bitmaps at most
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -147,7 +175,9 @@ def sets_of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 doc, value = shingle_sets(words(b.column(TEXT)), n)
                 size = np.bincount(doc, minlength=len(b))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.large_binary(), len(b), [None, offsets.buffers()[1], pa.py_buffer(value.astype("<u8").tobytes())]).cast(pa.binary())], names=["id", "set"])
+                buffers = [None, offsets.buffers()[1], pa.py_buffer(value.astype("<u8").tobytes())]
+                sets = pa.Array.from_buffers(pa.large_binary(), len(b), buffers).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["id", "set"])
 
     marked = rows.select("id", "t", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("cell"))
     return marked.mapInArrow(make, f"id {kind}, set binary")
@@ -168,7 +198,8 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     # ids are unique in sets; a document with many pairs is a skewed key on the side of the pairs, which Spark can split
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(test, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame, what: str = "components") -> DataFrame:
@@ -178,39 +209,51 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
     neighbour, until nothing changes. Rows are aggregated before they are shuffled; only a count comes to the driver.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), what)
+    before = None
+    edge = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m"))
         large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.least("m", "v").alias("u"))
         large = large.filter("u <> v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
-        new = stored(small.filter("u <> v").distinct(), what)
-        same = [x.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0)).alias("h")).first() for x in (edges, new)]
-        edges = new
-        if same[0] == same[1]:
-            return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
+        small = large.join(low, "v").select(F.explode(F.array(edge("v", "m"), edge("u", "m"))).alias("e")).select("e.v", "e.u")
+        edges = stored(small.filter("u <> v").distinct(), what)
+        mark = F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0)).alias("mark")
+        now = edges.agg(F.count("*").alias("n"), mark).first()
+        if now == before:
+            tops = edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct()
+            return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(tops)
+        before = now
 
 
-def _may_match(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: int) -> Column:
-    """Length and positional filter on set sizes and places in the prefix: can the overlap still reach what is needed?"""
-    need = F.ceil((na + nb) * F.lit(num) / F.lit(num + den))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= need)
+def size_of(key: Column) -> Column:
+    return key.bitwiseAND((1 << SIZE_BITS) - 1)
+
+
+def reaches(x: Column, y: Column, num: int, den: int) -> Column:
+    """Positional filter on two keys of one shingle: if no earlier shingle is shared, can the overlap be enough?
+
+    min(n - pos of either) * (num + den) >= num * (n of both), which bounds the sizes as well.
+    """
+    spare = lambda k: F.lit(den) * size_of(k) - F.lit(num + den) * F.shiftright(k, SIZE_BITS)
+    return (spare(x) >= F.lit(num) * size_of(y)) & (spare(y) >= F.lit(num) * size_of(x))
 
 
 def _close(na: Column, nb: Column, ha: Column, hb: Column, num: int, den: int) -> Column:
     """Length and suffix filter: sets differ at least by the differences of their counts in each range.
 
-    A set has twice the ranges of one of half its size; two neighbouring ranges then count as one. Beyond twice, sizes
-    alone keep the sets apart.
+    A set has twice the ranges of one of half its size; two neighbouring ranges then count as one. Sets whose ranges
+    compare in neither way pass.
     """
     need = F.ceil((na + nb) * F.lit(num) / F.lit(num + den))
     more = F.size(ha) >= F.size(hb)
     fine, coarse = F.when(more, ha).otherwise(hb), F.when(more, hb).otherwise(ha)
     both = lambda x, y: F.transform(y, lambda _, i: F.get(x, 2 * i).cast("int") + F.get(x, 2 * i + 1))
-    level = F.when(F.size(fine) == F.size(coarse), fine.cast("array<int>")).when(F.size(fine) == 2 * F.size(coarse), both(fine, coarse))
+    halved = F.when(F.size(fine) == 2 * F.size(coarse), both(fine, coarse))
+    level = F.when(F.size(fine) == F.size(coarse), fine.cast("array<int>")).otherwise(halved)
     apart = F.aggregate(F.zip_with(level, coarse, lambda x, y: F.abs(x - y.cast("int"))), F.lit(0), lambda a, x: a + x)
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart <= na + nb - 2 * need)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.coalesce(apart, F.lit(0)) <= na + nb - 2 * need)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -218,70 +261,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents link when den * intersection >= num * union of their shingle sets. Texts without words (null, empty, blank)
     have no shingles and link with nothing. Rows that repeat an id are one document in the result of the search; each
-    gets its row. Other columns of docs are ignored.
+    gets its row. A table without rows gives none. Other columns of docs are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    classes = rarity(sketch(rows, n))
-    feats = stored(features(rows, classes, n, num, den), "shingle-features")
+    feats = stored(features(rows, sketch(rows, n), n, num, den), "shingle-features")
     # equal sets first: the least id stands for all of them wherever pairs are looked at
-    groups = feats.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
-    slim = stored(feats.select("id", "n", "one", "two", "hist").join(groups, ["one", "two", "n"]).select("id", "rep", "n", "hist"), "shingle-sets-by-id")
-    tokens = feats.select("id", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "pos")
-    heads = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1").drop("c")
-    met = stored(tokens.join(heads, "token"), "shared-prefixes")
-
-    of = lambda k: slim.select(F.col("id").alias(k), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs of different sets, each once, that pass the length and suffix filters."""
-        found = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").filter("ra <> rb")
-        near = found.filter(_close(F.col("na"), F.col("nb"), F.col("ha"), F.col("hb"), num, den))
-        return near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    def verified(pairs: DataFrame, what: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return stored(verify(pairs, sets_of(rows, ids, n), num, den).distinct(), what)
-
-    first = stored(likely(met.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))), "head-pairs")
-    links = verified(first, "head-links")
-    roots = components(links)
-
-    def mixed(roots: DataFrame) -> DataFrame:
-        """Rows of shingles whose documents are not all in one component, with size, place and component."""
-        placed = met.select("token", "id", "pos").join(slim.select("id", "rep", "n"), "id").select("token", F.col("rep").alias("id"), "pos", "n").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x <> y and c > 2").select("token")
-        return stored(placed.join(several, "token", "left_semi"), "mixed-prefixes")
-
-    def apart(x: str, y: str) -> Column:
-        c = lambda p, k: F.col(f"{p}.{k}")
-        return (c(x, "root") != c(y, "root")) & _may_match(c(x, "n"), c(y, "n"), c(x, "pos"), c(y, "pos"), num, den)
-
-    # a few more heads for these shingles, drawn by hash: most groups of near copies become one component that way
-    left = mixed(roots)
-    draw = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n", "pos")) for k in range(HEADS)]
-    drawn = left.groupBy("token").agg(F.array(*draw).alias("heads"))
-    near = left.join(drawn, "token").select(F.struct("id", "root", "n", "pos").alias("a"), F.explode(F.array_distinct("heads")).alias("b"))
-    near = near.filter(apart("a", "b")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(likely(near), "drawn-pairs")
-    if not second.isEmpty():
-        links = links.unionByName(verified(second, "drawn-links"))
-        roots = components(links)
-        left = mixed(roots)
-
-    # every other pair between components
+    groups = stored(feats.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("rep")), "equal-sets")
+    lean = feats.filter("n > 0").select("id", "n", "prefix").join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    key = F.shiftleft(F.col("pos").cast("long"), SIZE_BITS).bitwiseOR(F.col("n"))
+    tokens = lean.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", key.alias("key"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("key").alias("least")).filter("c > 1")
+    met = stored(tokens.join(shared, "token"), "shared-prefixes")
+    hists = lambda k: feats.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
+    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    def verified(pairs: DataFrame, what: str) -> DataFrame | None:
+        """Links among the pairs that pass the suffix filter; None if no pair does."""
+        near = pairs.join(hists("a"), "a").join(hists("b"), "b").filter(_close(F.col("na"), F.col("nb"), F.col("ha"), F.col("hb"), num, den))
+        near = stored(near.select("a", "b").distinct(), what + "-pairs")
+        if near.isEmpty():
+            return None
+        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return stored(verify(near, sets_of(rows, ids, n), num, den).distinct(), what + "-links")
+
+    heads = met.filter("key = least").groupBy("token").agg(F.min("id").alias("head"))
+    to_head = met.join(heads, "token").filter((F.col("id") != F.col("head")) & reaches(F.col("key"), F.col("least"), num, den))
+    first = stored(to_head.select(*ordered("id", "head")).distinct(), "head-pairs")
+    links = verified(first, "head")
+    roots = components(links) if links else None
+
+    # every other pair between components, of shingles whose documents are not all in one
+    placed = met.filter("c > 2").select("token", "id", "key")
+    placed = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) if roots else placed.withColumn("root", F.col("id"))
+    several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+    left = stored(placed.join(several, "token", "left_semi"), "mixed-prefixes")
     a, b = left.alias("a"), left.alias("b")
-    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & apart("a", "b")
-    pairs = a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
-    rest = stored(likely(pairs), "other-pairs")
-    if not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest, "other-links")))
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
+    pairs = a.join(b, meet & reaches(F.col("a.key"), F.col("b.key"), num, den)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    more = verified(stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "other-pairs"), "other")
+    if more is not None:
+        roots = components(links.unionByName(more) if links else more)
 
-    out = feats.select("id", "n").join(slim.select("id", "rep").distinct(), "id", "left").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
+    out = feats.select("id", "n", "one", "two").join(groups, ["one", "two", "n"], "left")
+    root = F.col("rep")
+    if roots is not None:
+        out, root = out.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left"), F.coalesce("root", "rep")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(root, "id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component, with all columns."""
+    """The rows of docs whose id is the least of their component, with all columns.
+
+    Rows without words stay, as they link with nothing. Rows that repeat an id all stay or all go. An empty table stays
+    empty; columns of docs may have any names.
+    """
     found = near_duplicates(docs, id_col, text_col)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(keep, docs[id_col] == F.col("_id"), "left_semi")
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"]), "left_semi")
