@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kontora.shared import scratch, stored
+
+__all__ = ["scratch", "stored"]
+
 #: The six characters that separate words everywhere in this subpackage.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder for intermediate tables, inside the shared folder named by spark.checkpoint.dir.
-
-    Where that setting is unset (tests, local mode) a temporary folder is made and the setting is filled in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-kontora-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def let(value: Column, body) -> Column:
