@@ -17,8 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, default_vocabulary, slices
+from .bpe import Codec, default_vocabulary
 from .common import scratch, stored
+from .words import slices
 
 SEQUENCE = 2048
 BATCH = 128
@@ -72,11 +73,12 @@ def write(docs: DataFrame, folder: str, end_id: int | None, id_col: str = "doc_i
     """Encode docs into files below folder; one row per file: shard, path, n_tokens, n_docs, start (tokens before it).
 
     A null text counts as empty; end_id follows every document where given. Rows that repeat an id all are written, in
-    no fixed order among themselves. A table without rows gives no files. Other columns of docs are ignored.
+    the order of their texts. A table without rows gives no files. Other columns of docs are ignored. The folder is one
+    that the workers' Arrow can open by its URI (local, HDFS, S3 and the like).
     """
     vocab = vocabulary or default_vocabulary()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(parts, "id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(parts, "id").sortWithinPartitions("id", "t")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocab)
@@ -90,21 +92,18 @@ def write(docs: DataFrame, folder: str, end_id: int | None, id_col: str = "doc_i
         writer = index = None
         docs_in = 0
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for x, y in slices(texts):
+            for some in slices(b, 1):
                 if writer is None:
                     sink, index_sink = fs.open_output_stream(f"{own}.arrow"), fs.open_output_stream(f"{own}.index")
                     writer = _Writer(sink, sequence, batch, wide)
                     keys = pa.schema([("id", b.schema.field(0).type), ("offset", pa.int64()), ("n_tokens", pa.int64())])
                     index = pa.ipc.new_file(index_sink, keys)
-                offsets, counts = [], []
-                for ids in codec.encode(texts[x:y]):
-                    ids = np.concatenate([np.frombuffer(ids, "<u4"), tail])
-                    offsets.append(writer.total)
-                    counts.append(len(ids))
-                    writer.add(ids)
-                index.write_batch(pa.record_batch([b.column(0).slice(x, y - x), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], schema=keys))
-                docs_in += y - x
+                ids, at = codec.encode_array(some.column(1))
+                ids, at = np.insert(ids, np.repeat(at[1:], len(tail)), np.tile(tail, len(some))), at + len(tail) * np.arange(len(at))
+                columns = [some.column(0), pa.array(writer.total + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64())]
+                index.write_batch(pa.record_batch(columns, schema=keys))
+                writer.add(ids)
+                docs_in += len(some)
         if writer is None:
             return
         writer.close()

@@ -54,7 +54,8 @@ class Ranges:
 
 
 @lru_cache(maxsize=8)
-def _table(seed: int, lower: bool) -> np.ndarray:
+def byte_table(seed: int, lower: bool = False) -> np.ndarray:
+    """A 64-bit value for each byte (A-Z as a-z where lower)."""
     t = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
     if lower:
         t[65:91] = t[97:123]
@@ -74,7 +75,7 @@ class Words:
         """One 64-bit value per word, equal for equal bytes (A-Z as a-z where lower)."""
         if not len(self.start):
             return np.zeros(0, U)
-        return Ranges(_table(seed, lower)[self.data], BYTE_BASE).of(self.start, self.end)
+        return Ranges(byte_table(seed, lower)[self.data], BYTE_BASE).of(self.start, self.end)
 
     def raw(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
