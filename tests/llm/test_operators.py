@@ -78,19 +78,42 @@ def test_bpe_joins_are_exact():
         assert codec.joined(codec.encode(pieces)) == codec._whole([s])[0] == codec.encode([s])[0]
 
 
+def test_parts_are_found_again_forgotten_and_told_apart():
+    rng = random.Random(4)
+    codec = bpe.Codec(bpe.default_vocabulary(), cache_size=60, cached_bytes=12)
+    word = lambda: "".join(rng.choice("abcäß€0") for _ in range(rng.choice([1, 3, 9, 40])))
+    for _ in range(60):
+        texts = ["".join(rng.choice([" ", "\n", "  ", "\t", "\u2003", ""]) + word() for _ in range(rng.randrange(12))) for _ in range(9)]
+        assert codec.encode(texts) == codec._whole(texts)
+        assert len(codec.known.slots) == codec.known.count <= 200
+
+
+def test_long_unsplit_texts(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    tok = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = ["".join(rng.choice(abc) for _ in range(n)) for abc, n in (("acgt", 90_000), ("ab", 40_000), ("日本語文字", 70_000), ("a", 70_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_decode(df).collect():
+        ids = tok.encode(texts[r.id], add_special_tokens=False).ids
+        assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and r.decoded == texts[r.id]
+
+
 def test_token_files(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(bpe.default_vocabulary())
-    unique = docs.dropDuplicates(["doc_id"])
+    unique = docs.union(docs.limit(3).withColumn("text", F.lit("the same id again")))
     shards = token_files.write(unique, token_files.new_folder(docs.sparkSession), 2, sequence=64, batch=4)
-    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_documents(shards).collect()}
-    start, want = 0, {}
-    for d in sorted(unique.collect(), key=lambda d: d.doc_id):
+    got = {(r.id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_documents(shards).collect()}
+    start, want = 0, set()
+    for d in sorted(unique.collect(), key=lambda d: (d.doc_id, d.text or "")):
         ids = [*tok.encode(d.text or "", add_special_tokens=False).ids, 2]
-        want[d.doc_id] = (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        want.add((d.doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
     assert got == want
+    assert token_files.read_documents(token_files.write(unique.limit(0), token_files.new_folder(docs.sparkSession), 2)).count() == 0
     first = shards.orderBy("shard").first()
     ids, mask = token_files.Shard(first.path).sequence_at(0)
     assert len(ids) == len(mask) == 64 and mask.all()
@@ -105,6 +128,23 @@ def test_exact_dedup(docs):
         assert got == Counter((i, max(g), len(g), i == max(g)) for g in groups.values() for i in g)
 
 
+def test_exact_dedup_over_runs_and_string_ids(spark, tmp_path):
+    texts = [("a", "x"), ("b", "y"), ("c", None), ("d", "x"), ("e", "")]
+    table = lambda rows, name: spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"{tmp_path}/{name}")
+    table(texts, "one")
+    table([("0", "x"), ("z", "y"), ("q", "new")], "two")
+    state = f"file://{tmp_path}/state"
+    run = lambda name, **kw: {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/{name}"), state_dir=state, **kw).collect()}
+    assert run("one") == {"a": ("d", 2), "b": ("b", 1), "c": ("e", 2), "d": ("d", 2), "e": ("e", 2)}
+    assert run("two") == {"0": ("d", 3), "z": ("z", 2), "q": ("q", 1)}
+    clash = lambda t: F.sha2(F.substring(t, 1, 1), 256)
+    state = f"file://{tmp_path}/other"
+    assert run("one", digest=clash)["b"] == ("b", 1)
+    table([("7", "xx")], "three")
+    with pytest.raises(ValueError, match="other bytes"):
+        run("three", digest=clash)
+
+
 def test_deduplicated_keeps_one_row_of_each_text(docs):
     out = exact_dedup.deduplicated(docs)
     assert out.columns == docs.columns
