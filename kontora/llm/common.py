@@ -38,23 +38,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def running_totals(df: DataFrame, order: list[str], value: str, out: str, what: str = "totals") -> DataFrame:
-    """df with out = sum of value over all rows before, in the order given.
+def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], what: str = "totals") -> DataFrame:
+    """df with, for each (value, out) of totals, out = sum of value over all rows before, in the order given.
 
     Rows are range-partitioned and sorted; each partition adds the totals of the partitions before it.
-    Only one number per partition is put together, never rows. Partitioning is fixed by writing the table.
+    Only one row of sums per partition is put together, never rows. Partitioning is fixed by writing the table.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tie = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(parts, *order).withColumn("_rt_part", F.spark_partition_id()).withColumn("_rt_tie", tie)
     ranged = stored(ranged, what)
-    sums = ranged.groupBy("_rt_part").agg(F.sum(value).alias("_rt_sum"))
-    before = F.coalesce(F.sum("_rt_sum").over(Window.orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("_rt_part", before.alias("_rt_off"))
+    sums = ranged.groupBy("_rt_part").agg(*[F.sum(v).alias(f"_rt_{out}") for v, out in totals.items()])
+    upto = Window.orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_rt_part", *[F.coalesce(F.sum(f"_rt_{out}").over(upto), F.lit(0)).alias(f"_rt_{out}") for out in totals.values()])
     inner = Window.partitionBy("_rt_part").orderBy(*order, "_rt_tie").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.join(F.broadcast(offsets), "_rt_part")  # one row per partition
-        .withColumn(out, F.col("_rt_off") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .drop("_rt_part", "_rt_sum", "_rt_off", "_rt_tie")
-    )
+    before = {out: F.col(f"_rt_{out}") + F.coalesce(F.sum(v).over(inner), F.lit(0)) for v, out in totals.items()}
+    # one row per partition is broadcast
+    return ranged.join(F.broadcast(offsets), "_rt_part").withColumns(before).drop("_rt_part", "_rt_tie", *[f"_rt_{out}" for out in totals.values()])

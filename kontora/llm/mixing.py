@@ -5,20 +5,21 @@ part of that ratio is taken outright, the rest is the document's inclusion proba
 of three documents at a time along the null space of the constraints (words and documents of the source) until one of
 the three becomes 0 or 1, so that the totals stay as they are. Flights run in blocks of bounded size in parallel; the two
 documents at most that a block leaves undecided meet again in the blocks of the next round, until each source is one
-block, whose last undecided documents land on the choice that misses the totals least.
+block. Its last undecided documents land on the choice that misses the totals least, and decisions of that block are
+swapped while that brings the words nearer to the target.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_totals, stored, word_count
+from .common import running_totals, stored, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 2000
@@ -32,22 +33,17 @@ def source_targets(sizes: DataFrame, share: float = 1.5, limit: float = 2.0, wei
     a target stops at `limit` times its source's size and the excess is shared again until no target is above.
     """
     key = F.struct(F.col("source").isNull().alias("last"), F.col("source"))
-    ranked = running_totals(sizes.withColumn("_one", F.lit(1)).withColumn("_key", key), ["_key"], "_one", "_rank", "mix-sources").drop("_one", "_key")
+    ranked = running_totals(sizes.withColumn("_one", F.lit(1)).withColumn("_key", key), ["_key"], {"_one": "_rank"}, "mix-sources")
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    base = stored(ranked.withColumn("weight", F.get(turn, F.pmod("_rank", F.lit(len(weights))).cast("int"))).drop("_rank"), "mix-weights")
-    cap = F.lit(limit) * F.col("source_size")
-    total = base.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0  # a source's target is its weight times the level, or its cap
-    while True:
-        full = cap <= F.lit(level) * F.col("weight")
-        row = base.agg(F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)).alias("capped"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("open")).first()
-        if not row["open"]:
-            break
-        new = (share * total - row["capped"]) / row["open"]
-        if new <= level * (1 + 1e-15):
-            break
-        level = new
-    return base.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
+    base = ranked.withColumn("weight", F.get(turn, F.pmod("_rank", F.lit(len(weights))).cast("int"))).drop("_rank", "_one", "_key")
+    base = base.withColumn("_cap", F.lit(float(limit)) * F.col("source_size")).withColumn("_full_at", F.col("_cap") / F.col("weight"))
+    # a source's target is its weight times a level, or its cap; sources are full in the order of cap / weight
+    steps = stored(running_totals(base, ["_full_at"], {"_cap": "_caps", "weight": "_weights"}, "mix-weights"), "mix-levels")
+    every = steps.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(share * (every["size"] or 0)) - F.col("_caps")) / (F.lit(every["weight"] or 1.0) - F.col("_weights"))
+    open_ = steps.withColumn("_level", level).filter("_level <= _full_at").agg(F.min(F.struct("_full_at", "_level"))["_level"].alias("level")).first()
+    target = F.col("_cap") if open_["level"] is None else F.least(F.col("_cap"), F.lit(open_["level"]) * F.col("weight"))
+    return steps.withColumn("target", target).drop("_cap", "_full_at", "_caps", "_weights")
 
 
 def flight(p: np.ndarray, x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -92,13 +88,47 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p
 
 
+def settled(p: np.ndarray, x: np.ndarray, want: float, most: int = 64) -> np.ndarray:
+    """Swap a document that is taken with one that is not, or turn one around, while the sum of p * x comes nearer to want.
+
+    Each step is the best there is, a swap where both are as good, as it leaves the number of documents.
+    """
+    p = p.copy()
+    for _ in range(most):
+        miss = want - float(p @ x)
+        on, off = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        best, move = abs(miss) * (1 - 1e-12), None
+        if len(on) and len(off):
+            on = on[np.argsort(x[on], kind="stable")]
+            at = np.searchsorted(x[on], x[off] - miss)
+            for shift in (-1, 0):
+                near = on[np.clip(at + shift, 0, len(on) - 1)]
+                left = np.abs(miss - (x[off] - x[near]))
+                k = int(np.argmin(left))
+                if left[k] < best:
+                    best, move = float(left[k]), (off[k], near[k])
+        for some, sign in ((off, 1), (on, -1)):
+            left = np.abs(miss - sign * x[some])
+            if len(some) and left.min() < best:
+                best, move = float(left.min()), (some[int(np.argmin(left))],)
+        if move is None:
+            break
+        p[list(move)] = 1 - p[list(move)]
+    return p
+
+
 def _walk(last: bool):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         # in the last block small documents come last, so that the landing problem is small
         order = pdf.assign(_by=-pdf["size"] if last else 0).sort_values(["_by", "mark", "id"], kind="stable")
         pdf = order.drop(columns=["_block", "_by"]).reset_index(drop=True)
-        p = flight(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), int(pdf["mark"].iloc[0]) & 0x7FFFFFFF)
-        pdf["p"] = landing(p, pdf["size"].to_numpy(float)) if last else p
+        p, x = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)
+        end = flight(p, x, int(pdf["mark"].iloc[0]) & 0x7FFFFFFF)
+        if last:
+            end = landing(end, x)
+            loose = (p > EPS) & (p < 1 - EPS)  # those that could go either way
+            end[loose] = settled(end[loose], x[loose], float((p * x).sum() - (end * x)[~loose].sum()))
+        pdf["p"] = end
         return pdf
 
     return block
@@ -108,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per row of docs: id, source, size, source_size, target, copies (0, 1, ... limit).
 
     size counts words; a null text has none and a null source is a source of its own. Each source's sum of size * copies
-    comes within a document of its target. Documents without words get the copies of any other. Repeated rows are
+    comes as near to its target as swaps of single documents bring it. A table without rows gives none. Documents without words get the copies of any other. Repeated rows are
     documents of their own. The result depends on ids, sizes and the seed only. Other columns of docs are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -146,9 +176,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs."""
-    plan = mix(docs, id_col, text_col, source_col).filter("copies > 0").groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_n"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    joined = docs.withColumn("_words", word_count(F.col(text_col))).join(plan, same)
-    # rows that repeat an id share their copies; ids are unique otherwise
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("_all") / F.col("_n"))).cast("int")))).select(*docs.columns)
+    """The rows of docs as often as the mix takes them, with the columns of docs, which may have any names.
+
+    Rows that repeat an id, source and size share their copies. An empty table stays empty.
+    """
+    names = {k: unused(docs, f"_mix_{k}") for k in ("id", "source", "size", "all", "n", "words", "copy")}
+    keys = {id_col: names["id"], source_col: names["source"], names["words"]: names["size"]}
+    plan = mix(docs, id_col, text_col, source_col).filter("copies > 0")
+    plan = plan.groupBy(F.col(id_col).alias(names["id"]), F.col("source").alias(names["source"]), F.col("size").alias(names["size"]))
+    plan = plan.agg(F.sum("copies").alias(names["all"]), F.count("*").alias(names["n"]))
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in keys.items()])
+    joined = docs.withColumn(names["words"], word_count(F.col(text_col))).join(plan, same)
+    times = F.greatest(F.lit(1), F.floor(F.col(names["all"]) / F.col(names["n"]))).cast("int")
+    return joined.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
