@@ -218,10 +218,39 @@ def test_mixing(docs):
                 target[s] = 2 * sizes[s]
                 open_.discard(s)
     assert all(abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source]) and r.source_size == sizes[r.source] for r in got)
+    taken, least = defaultdict(int), {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.size * r.copies
+    for s in order:
+        least[s] = min((r.size for r in got if r.source == s and r.size), default=0)
+        assert abs(taken[s] - target[s]) <= max(0.02 * target[s], least[s]), (s, taken[s], target[s])
     key = lambda rs: Counter((r.doc_id, r.copies) for r in rs)
     assert key(got) == key(mixing.mix(docs, block=6).collect())
 
 
+def test_mix_comes_near_its_targets(spark, sf):
+    rows = queries.QUERIES["op7_mixing"](spark, sf).collect()
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size
+    assert len(target) > 3 and all(abs(taken[s] - t) <= 0.01 * t + 1 for s, t in target.items())
+
+
+def test_mixed_documents_keep_their_columns(docs):
+    odd = docs.withColumn("_words", F.lit(1)).withColumn("_mix_id", F.lit("x")).withColumn("copies", F.lit(9))
+    plan = Counter()
+    for r in mixing.mix(odd).collect():
+        plan[r.doc_id] += r.copies
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns
+    got = Counter(r.doc_id for r in out.collect())
+    ids = Counter(r.doc_id for r in docs.collect())
+    assert {k: v for k, v in got.items() if ids[k] == 1} == {k: v for k, v in plan.items() if v and ids[k] == 1}
+    assert mixing.mixed_documents(odd.limit(0)).count() == 0
+
+
 def _luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
