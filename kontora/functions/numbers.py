@@ -80,3 +80,33 @@ def gcd(a, b) -> Column:
     start = F.struct(_col(a).cast("bigint").alias("a"), _col(b).cast("bigint").alias("b"))
     step = lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), F.when(s.b == 0, F.lit(0)).otherwise(s.a % s.b).cast("bigint").alias("b")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s.a)
+
+
+def gcd_wide(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two decimals without fractions; 128-bit Euclid by remainders."""
+    start = F.struct(F.abs(a).cast(WIDE).alias("a"), F.abs(b).cast(WIDE).alias("b"))
+    zero = F.lit(0).cast(WIDE)
+    rest = lambda s: (s.a - trunc_div(s.a, s.b).cast(WIDE) * s.b).cast(WIDE)
+    step = lambda s, _: F.when(s.b == zero, s).otherwise(F.struct(s.b.alias("a"), rest(s).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s.a)
+
+
+def reduced(num: Column, den: Column) -> tuple[Column, Column]:
+    """A fraction in lowest terms, on decimals."""
+    g = F.greatest(gcd_wide(num, den), F.lit(1).cast(WIDE))
+    return trunc_div(num, g).cast(WIDE), trunc_div(den, g).cast(WIDE)
+
+
+def fraction_sum(parts: Column) -> Column:
+    """Struct (num, den) of the sum of an array of such structs, over their least common denominator."""
+    one = F.lit(1).cast(WIDE)
+    dens = F.array_distinct(F.transform(parts, lambda x: x.den))
+    lcm = F.aggregate(dens, one, lambda a, d: (trunc_div(a, gcd_wide(a, d)).cast(WIDE) * d).cast(WIDE))
+    total = lambda den: F.aggregate(parts, F.lit(0).cast(WIDE), lambda a, x: (a + x.num * trunc_div(den, x.den).cast(WIDE)).cast(WIDE))
+    return F.element_at(F.transform(F.array(lcm), lambda den: F.struct(total(den).alias("num"), den.alias("den"))), 1)
+
+
+def rounded_fraction(num: Column, den: Column) -> Column:
+    """A fraction as bigint, halves up; what is above nothing is 1 at least."""
+    near = trunc_div(wide(num) + trunc_div(den, 2).cast(WIDE), den)
+    return F.when(num > 0, F.greatest(near, F.lit(1).cast(WIDE))).otherwise(F.lit(0)).cast("bigint")

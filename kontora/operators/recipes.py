@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import WIDE, trunc_div, wide
+from ..functions.numbers import WIDE, fraction_sum, reduced, trunc_div, wide
 from ..functions.units import base_unit, to_base, unit
 from ..shared import stored
 from .matching import valid_on
@@ -66,15 +66,6 @@ def cycles(recipes: DataFrame) -> DataFrame:
     return reach_pairs(recipes).filter("src = product_id").select("product_id").distinct()
 
 
-def _reduced(num: Column, den: Column) -> tuple[Column, Column]:
-    """A fraction in lowest terms, on decimals; 128-bit Euclid by remainders."""
-    start = F.struct(F.abs(num).alias("a"), F.abs(den).alias("b"))
-    zero = F.lit(0).cast(WIDE)
-    step = lambda s, _: F.when(s.b == zero, s).otherwise(F.struct(s.b.alias("a"), (s.a - trunc_div(s.a, s.b).cast(WIDE) * s.b).cast(WIDE).alias("b")))
-    g = F.greatest(F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s.a), F.lit(1).cast(WIDE))
-    return trunc_div(num, g).cast(WIDE), trunc_div(den, g).cast(WIDE)
-
-
 def leaves(products: DataFrame, recipes: DataFrame, depth: int = 32) -> DataFrame:
     """(product_id, part_id, amount, unit): what one of a product's units uses up of products without a recipe.
 
@@ -93,24 +84,15 @@ def leaves(products: DataFrame, recipes: DataFrame, depth: int = 32) -> DataFram
         leaf = open_.join(made.select(F.col("product_id").alias("at")), "at", "left_anti")
         done = leaf if done is None else done.unionByName(leaf)
         moved = open_.join(step.withColumnRenamed("base", "_base"), "at")
-        num, den = _reduced(wide(F.col("num") * wide(F.col("up"))), wide(F.col("den") * wide(F.col("down"))))
+        num, den = reduced(wide(F.col("num") * wide(F.col("up"))), wide(F.col("den") * wide(F.col("down"))))
         open_ = stored(moved.select("product_id", F.col("next").alias("at"), F.col("_base").alias("base"), num.alias("num"), den.alias("den")), "leaves")
         if open_.isEmpty():
             break
     else:
         raise ValueError("recipes are deeper than allowed, or contain themselves")
-    # sums over a common denominator: the least common multiple of what a part's paths have
-    lcm = F.aggregate(F.collect_set("den"), one, lambda a, d: (trunc_div(a, _gcd(a, d)).cast(WIDE) * d).cast(WIDE))
-    total = done.groupBy("product_id", "at").agg(F.first("base").alias("unit"), lcm.alias("den"), F.collect_list(F.struct("num", "den")).alias("parts"))
-    total = total.withColumn("num", F.aggregate("parts", F.lit(0).cast(WIDE), lambda a, x: (a + x.num * trunc_div(F.col("den"), x.den).cast(WIDE)).cast(WIDE)))
+    total = done.groupBy("product_id", "at").agg(F.first("base").alias("unit"), fraction_sum(F.collect_list(F.struct("num", "den"))).alias("sum"))
+    total = total.select("product_id", "at", "unit", "sum.num", "sum.den")
     scaled = total.join(p.select("product_id", "one"), "product_id").withColumn("n", (F.col("num") * wide(F.col("one"))).cast(WIDE))
     rounded = F.greatest(trunc_div(F.col("n") + trunc_div(F.col("den"), 2).cast(WIDE), F.col("den")), F.lit(1).cast(WIDE))
     amount = F.when(F.col("n") > 0, rounded).otherwise(F.lit(0)).cast("bigint")
     return scaled.select("product_id", F.col("at").alias("part_id"), amount.alias("amount"), "unit")
-
-
-def _gcd(a: Column, b: Column) -> Column:
-    start = F.struct(a.cast(WIDE).alias("a"), b.cast(WIDE).alias("b"))
-    zero = F.lit(0).cast(WIDE)
-    step = lambda s, _: F.when(s.b == zero, s).otherwise(F.struct(s.b.alias("a"), (s.a - trunc_div(s.a, s.b).cast(WIDE) * s.b).cast(WIDE).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s.a)

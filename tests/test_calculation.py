@@ -71,3 +71,70 @@ def test_identities(report):
 def test_vat_rows(report):
     rows = [(r.vat, r.declared, r.calculated, r.total) for r in report.vat.orderBy("place").collect()]
     assert rows[0] == (1900, 500000, rows[0][2], False) and rows[-1][3] and rows[-1][2] >= 735335
+
+
+def test_two_ways_to_a_dish(spark):
+    """Bought fries and made ones: 40 dishes with the bought, 60 with those from potatoes."""
+    from kontora.operators import allocation
+
+    make = spark.createDataFrame
+    wares = [("pork", "GRM"), ("potato", "GRM"), ("oil", "MLT"), ("schnitzel", "H87"), ("fries", "H87"), ("dish", "H87")]
+    products = make([(p, p, u, 1, None, None, None, None, None) for p, u in wares], PRODUCT)
+    lines = [("schnitzel", 1, "pork", 180, "GRM"), ("fries", 1, "potato", 250, "GRM"), ("fries", 2, "oil", 20, "MLT"), ("dish", 1, "schnitzel", 1, "H87"), ("dish", 2, "fries", 1, "H87")]
+    recipes = make(lines, "product_id string, ord long, part_id string, amount long, unit string")
+    # base amounts: grams, millilitres, pieces
+    amounts = {"pork": (18000, 18000), "potato": (15000, 1500), "oil": (2000, 600), "fries": (40, 2000)}
+    stock = make([("c", p, q, cost, q) for p, (q, cost) in amounts.items()], "case_id string, product_id string, bought long, cost long, sellable long")
+    sold = make([("c", "dish")], "case_id string, product_id string")
+    none = make([], "product_id string, part_id string, amount long")
+    ways = allocation.routes(sold, recipes, products, stock, none)
+    got = {}
+    for r in ways.collect():
+        got.setdefault(r.route, {})[r.part_id] = r.amount
+    assert set(got[0]) == {"pork", "fries"} and set(got[1]) == {"pork", "potato", "oil"}
+    taken = allocation.allocate(ways, stock, make([], "case_id string, product_id string, portions long"))
+    portions = {r.route: r.n for r in taken.filter("kind = 'column'").collect()}
+    assert portions == {0: 40, 1: 60}
+    pins = make([("c", "dish", 70)], "case_id string, product_id string, portions long")
+    fixed = {r.route: (r.n, r.flag) for r in allocation.allocate(ways, stock, pins).filter("kind = 'column'").collect()}
+    assert fixed == {0: (40, True), 1: (30, True)}
+
+
+def test_ranked_choices():
+    import itertools
+
+    from kontora.operators.allocation import ranked_choices
+
+    for sizes, room in (([2, 3], 6), ([3, 3, 3, 3], 64), ([2] * 7, 63), ([5, 9, 4], 20), ([64, 64], 64), ([1, 70], 64)):
+        got, cut = ranked_choices(sizes, room)
+        every = list(itertools.product(*map(range, sizes)))
+        rows = [tuple(x) for x in got.tolist()]
+        assert cut == (len(every) > room) and len(set(rows)) == len(rows) == min(room, len(every))
+        assert rows[0] == every[0] and rows[-1] == every[-1]
+        if cut:
+            first, last = every[0], every[-1]
+            differs = lambda way, end: [x for i, (a, b) in enumerate(zip(way, end, strict=True)) if a != b for x in (i, a)]
+            rank = {w: min((len(differs(w, e)), side, differs(w, e)) for side, e in enumerate((first, last))) for w in every}  # noqa: B023
+            assert rows[1:-1] == sorted((w for w in every if w not in (first, last)), key=rank.get)[: room - 2]
+
+
+def test_packing_is_best():
+    import itertools
+    import random
+
+    import numpy as np
+
+    from kontora.operators.allocation import _best_counts
+
+    rng = random.Random(1)
+    for _ in range(40):
+        room = np.array([rng.randrange(1, 12) for _ in range(rng.randrange(1, 3))])
+        weights = np.array([[rng.randrange(0, 4) for _ in room] for _ in range(rng.randrange(1, 4))])
+        weights[(weights == 0).all(axis=1)] = 1
+        value = [rng.randrange(1, 20) for _ in weights]
+        bound = [rng.choice([None, 2, 5]) for _ in weights]
+        counts = _best_counts(room, weights, bound, value)
+        fits = lambda c: (np.array(c) @ weights <= room).all() and all(b is None or x <= b for x, b in zip(c, bound, strict=True))  # noqa: E731, B023
+        assert fits(counts.tolist())
+        best = max(sum(x * v for x, v in zip(c, value, strict=True)) for c in itertools.product(range(13), repeat=len(value)) if fits(c))
+        assert sum(x * v for x, v in zip(counts.tolist(), value, strict=True)) == best
