@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_name
+from ..shared import stored
 
 LINE = ["case_id", "invoice_id", "ord"]
 SEP = "\x1f"
@@ -22,34 +23,41 @@ def usable(m_unit: Column, m_from: Column, m_to: Column, unit_code: Column, date
     return valid_on(m_from, m_to, date) & (blank | (F.coalesce(unit_code, F.lit("")) == "") | (F.lower(m_unit) == F.lower(unit_code)))
 
 
-def _keys(carried: Column | None, supplier: Column, article: Column, gtin: Column, name: Column) -> Column:
-    """The keys of a line or mapping as (tier, key) structs; absent keys are null and left out."""
-    full = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
-    tiers = [full(carried) if carried is not None else F.lit(None).cast("string"), F.when(full(supplier).isNotNull() & full(article).isNotNull(), F.concat(supplier, F.lit(SEP), article)), full(gtin), full(canonical_name(name))]
-    return F.filter(F.array(*[F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate(tiers)]), lambda x: x.key.isNotNull())
+def _full(c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) != "", c)
 
 
-def _mapping_keys(mappings: DataFrame) -> DataFrame:
+def _hits(mappings: DataFrame) -> DataFrame:
+    """(tier, key, hits): the mappings that each key names, by id. Tiers: own id, supplier and article, GTIN, name."""
     c = F.col
-    return mappings.select(
-        F.explode(_keys(c("mapping_id"), c("supplier_name"), c("seller_article_id"), c("gtin"), c("name"))).alias("k"),
-        *[c(x).alias(f"m_{x}") for x in ("mapping_id", "product_id", "factor", "unit_code", "valid_from", "valid_to")],
-    ).select("k.tier", "k.key", "m_mapping_id", "m_product_id", "m_factor", "m_unit_code", "m_valid_from", "m_valid_to")
+    both = F.when(_full(c("supplier_name")).isNotNull() & _full(c("seller_article_id")).isNotNull(), F.concat("supplier_name", F.lit(SEP), "seller_article_id"))
+    keys = [_full(c("mapping_id")), both, _full(c("gtin")), _full(canonical_name(c("name")))]
+    keyed = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate(keys)]), lambda x: x.key.isNotNull()))
+    rows = mappings.select(keyed.alias("k"), F.struct("mapping_id", "product_id", "factor", "unit_code", "valid_from", "valid_to").alias("hit"))
+    return rows.groupBy("k.tier", "k.key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
 
 
 def match_mapping(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     """lines with match_id, product_id and match_factor of the mapping that applies, null without one.
 
     The id that a line carries wins outright, even if expired; then supplier and article number, GTIN and canonical name,
-    each among usable mappings, the smallest id first. Lines and mappings meet in one join on (tier, key); its rows are
-    reduced to the best per line before they go back to the lines.
+    each among usable mappings, the smallest id first. The mappings of a key are put together in one table, which is
+    written, so that Spark knows its size when it chooses how to join; lines meet it once per tier and never go back to
+    themselves. Names are made canonical once each.
     """
     c = F.col
-    keyed = lines.select(*LINE, "unit_code", "date", F.explode(_keys(c("mapping_id"), c("supplier_name"), c("seller_article_id"), c("gtin"), c("name"))).alias("k")).select(*LINE, "unit_code", "date", "k.tier", "k.key")
-    met = keyed.join(_mapping_keys(mappings), ["tier", "key"]).filter((c("tier") == 0) | usable(c("m_unit_code"), c("m_valid_from"), c("m_valid_to"), c("unit_code"), c("date")))
-    best = met.groupBy(*LINE).agg(F.min(F.struct("tier", "m_mapping_id", "m_product_id", "m_factor")).alias("b"))
-    best = best.select(*LINE, c("b.m_mapping_id").alias("match_id"), c("b.m_product_id").alias("product_id"), c("b.m_factor").alias("match_factor"))
-    return lines.join(best, LINE, "left")
+    hits = stored(_hits(mappings), "mapping-keys")
+    tier = lambda k, name: hits.filter(c("tier") == k).select(c("key").alias(f"_key{k}"), c("hits").alias(name))
+    names = lines.select("name").distinct().withColumn("_key3", _full(canonical_name(c("name"))))
+    by_name = stored(names.join(tier(3, "_hits3"), "_key3").select(c("name").alias("_name"), "_hits3"), "mapping-names")
+    both = F.when(_full(c("supplier_name")).isNotNull() & _full(c("seller_article_id")).isNotNull(), F.concat("supplier_name", F.lit(SEP), "seller_article_id"))
+    met = lines.withColumns({"_own": _full(c("mapping_id")), "_article": both, "_gtin": _full(c("gtin"))})
+    met = met.join(tier(0, "_hits0"), c("_own") == c("_key0"), "left").join(tier(1, "_hits1"), c("_article") == c("_key1"), "left")
+    met = met.join(tier(2, "_hits2"), c("_gtin") == c("_key2"), "left").join(by_name, c("name") == c("_name"), "left")
+    fits = lambda h: usable(h.unit_code, h.valid_from, h.valid_to, c("unit_code"), c("date"))
+    first = F.coalesce(F.get("_hits0", F.lit(0)), *[F.get(F.filter(f"_hits{k}", fits), F.lit(0)) for k in (1, 2, 3)])
+    best = met.withColumn("_best", first)
+    return best.select(*lines.columns, c("_best.mapping_id").alias("match_id"), c("_best.product_id").alias("product_id"), c("_best.factor").alias("match_factor"))
 
 
 def mapping_still_fits(lines: DataFrame, mappings: DataFrame) -> DataFrame:

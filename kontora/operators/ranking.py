@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +20,63 @@ def confidence(cosine: Column, a: float, b: float) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(99), F.bround(100 / (1 + F.exp(-(cosine * a + b))), 0).cast("int")))
 
 
-def rank_wares(queries: DataFrame, wordings: DataFrame, n: int = 5, penalty: float = 0.1) -> DataFrame:
+def _blocks(df: DataFrame, fields: list[str], rows: int, what: str) -> DataFrame:
+    """df as one row per block of about `rows` rows: arrays of its fields. The number of blocks follows the table."""
+    n = max(1, -(-df.count() // rows))
+    return df.withColumn("_b", F.pmod(F.xxhash64(*fields[:1], F.monotonically_increasing_id()), F.lit(n))).groupBy("_b").agg(F.collect_list(F.struct(*fields)).alias(what)).drop("_b")
+
+
+def rank_wares(queries: DataFrame, wordings: DataFrame, n: int = 5, penalty: float = 0.1, block: int = 2048) -> DataFrame:
     """(query_id, ware_id, score, rank): the n best wares of each query by their best wording, ties by ware.
 
-    queries: (query_id, vec, date, held). wordings: (ware_id, vec, valid_from, valid_to, packages), the catalogue; it is
-    dealt in blocks against the queries. A wording counts only on dates it is valid on; packages that contradict what
-    the line holds cost `penalty`.
+    queries: (query_id, query_vec, date, held). wordings: (ware_id, vec, valid_from, valid_to, packages), the catalogue.
+    A wording counts only on dates it is valid on; packages that contradict what the line holds cost `penalty`. Blocks
+    of queries meet blocks of the catalogue, each pair of them one product of matrices that keeps its n best per query.
     """
-    c = F.col
-    pairs = queries.crossJoin(wordings)  # the stated query set against the whole catalogue
-    valid = c("date").isNull() | ((c("valid_from").isNull() | (c("date") >= c("valid_from"))) & (c("valid_to").isNull() | (c("date") < c("valid_to"))))
-    against = (F.size("packages") > 0) & (F.size("held") > 0) & ~F.arrays_overlap("packages", "held")
-    scored = pairs.filter(valid).select("query_id", "ware_id", (dot(c("query_vec"), c("vec")) - F.when(against, F.lit(penalty)).otherwise(F.lit(0.0))).alias("score"))
-    best = scored.groupBy("query_id", "ware_id").agg(F.max("score").alias("score"))
+    kind = {k: df.schema[k].dataType.simpleString() for df, k in ((queries, "query_id"), (wordings, "ware_id"))}
+    q = _blocks(queries, ["query_id", "query_vec", "date", "held"], block, "queries")
+    w = _blocks(wordings, ["ware_id", "vec", "valid_from", "valid_to", "packages"], block, "wordings")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                yield _best_of_blocks(x.values, y.values, n, penalty)
+
+    # blocks of the stated query set against blocks of the catalogue
+    pairs = q.crossJoin(w).repartition(F.xxhash64("queries", "wordings"))
+    near = pairs.mapInArrow(rank, f"query_id {kind['query_id']}, ware_id {kind['ware_id']}, score double")
+    best = near.groupBy("query_id", "ware_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ware_id")
-    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(c("rank") <= n)
+    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
+
+
+def _best_of_blocks(queries: pa.StructArray, wordings: pa.StructArray, n: int, penalty: float) -> pa.RecordBatch:
+    """The n best wares of each query of a block among the wordings of a block."""
+    stack = lambda a: np.array(a.to_pylist(), np.float32)
+    a, b = stack(queries.field("query_vec")), stack(wordings.field("vec"))
+    score = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):  # products in single precision, summed in double, in the order of the dimensions
+        score += (a[:, k : k + 1] * b[:, k]).astype(np.float64)
+    held = [frozenset(x or ()) for x in queries.field("held").to_pylist()]
+    packages = [frozenset(x or ()) for x in wordings.field("packages").to_pylist()]
+    kinds_a, kinds_b = sorted(set(held), key=sorted), sorted(set(packages), key=sorted)
+    against = np.array([[bool(x) and bool(y) and not x & y for y in kinds_b] for x in kinds_a])
+    index_a, index_b = {x: i for i, x in enumerate(kinds_a)}, {x: i for i, x in enumerate(kinds_b)}
+    score -= penalty * against[np.ix_([index_a[x] for x in held], [index_b[x] for x in packages])]
+    days = lambda s, empty: np.array(s.cast(pa.int32()).fill_null(empty).to_numpy(zero_copy_only=False))
+    low, high = days(wordings.field("valid_from"), -(2**31)), days(wordings.field("valid_to"), 2**31 - 1)
+    date = queries.field("date")
+    day, dated = days(date, 0), ~np.array(date.is_null())
+    score[dated[:, None] & ((day[:, None] < low) | (day[:, None] >= high))] = -np.inf
+    wares, of = np.unique(np.array(wordings.field("ware_id").to_pylist()), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    best = np.maximum.reduceat(score[:, order], np.flatnonzero(np.diff(of[order], prepend=-1)), axis=1)
+    top = np.argsort(-best, axis=1, kind="stable")[:, :n]  # equal scores keep the order of the wares
+    value = np.take_along_axis(best, top, axis=1)
+    row, place = np.nonzero(value > -np.inf)
+    ids = queries.field("query_id").take(pa.array(row))
+    names = pa.array(wares[top[row, place]].tolist(), wordings.field("ware_id").type)
+    return pa.RecordBatch.from_arrays([ids, names, pa.array(value[row, place])], names=["query_id", "ware_id", "score"])
 
 
 def top_suggestions(ranked: DataFrame, exact: DataFrame, a: float, b: float, n: int = 5, floor: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import FULL, WIDE, round_div, trunc_div, wide
 from ..functions.units import base_unit, converted_quantity, factor, pack_size, to_base, unit
+from ..shared import stored
 from .matching import match_mapping
 
 DEPOSIT = "prod.pfand"
@@ -23,16 +24,19 @@ def route_lines(lines: DataFrame, mappings: DataFrame, products: DataFrame, cate
     """lines with their bucket and, for purchases, the converted quantity.
 
     Buckets in order of precedence: unmapped, deposit, no_revenue, unused, missing_factor, purchase. Adds match_id,
-    product_id, bucket, counted (unit), factor, per, factor_source and qty.
+    product_id, bucket, counted (unit), factor, per, factor_source and qty. Pack sizes are read once per name, units once
+    per code.
     """
     c = F.col
-    p = with_division(products, categories).select(
-        "product_id", c("unit").alias("p_unit"), "goods", F.when(c("piece_amount").isNotNull(), F.struct(c("piece_amount").alias("amount"), c("piece_unit").alias("unit"))).alias("piece"), F.lit(True).alias("known")
-    )
+    piece = F.when(c("piece_amount").isNotNull(), F.struct(c("piece_amount").alias("amount"), c("piece_unit").alias("unit")))
+    p = with_division(products, categories).select("product_id", base_unit(c("unit")).alias("counted"), "goods", piece.alias("piece"), F.lit(True).alias("known"))
+    packs = stored(lines.select(c("name").alias("_name")).distinct().withColumn("pack", pack_size(c("_name"))).filter("pack is not null"), "packs")
+    codes = stored(lines.select(c("unit_code").alias("_code")).distinct().withColumn("billed", unit(c("_code"))).filter("billed is not null"), "codes")
     matched = match_mapping(lines, mappings).join(p, "product_id", "left")
+    matched = matched.join(packs, c("name") == c("_name"), "left").join(codes, c("unit_code") == c("_code"), "left")
     matched = matched.join(reached.select("case_id", "product_id", F.lit(True).alias("is_reached")), ["case_id", "product_id"], "left")
     matched = matched.join(no_revenue.select("case_id", "product_id", F.lit(True).alias("is_free")).distinct(), ["case_id", "product_id"], "left")
-    routed = matched.withColumn("counted", base_unit(c("p_unit"))).withColumn("pack", pack_size(c("name"))).withColumn("f", factor(c("counted"), c("piece"), c("unit_code"), c("pack"), c("match_factor")))
+    routed = matched.withColumn("f", factor(c("counted"), c("piece"), c("unit_code"), c("pack"), c("match_factor"), c("billed")))
     bucket = (
         F.when(c("known").isNull(), "unmapped").when(c("product_id") == deposit, "deposit").when(c("is_free"), "no_revenue")
         .when(c("is_reached").isNull() | c("counted").isNull(), "unused").when(c("f").isNull(), "missing_factor").otherwise("purchase")
@@ -42,7 +46,7 @@ def route_lines(lines: DataFrame, mappings: DataFrame, products: DataFrame, cate
     return routed.select(
         *lines.columns, "match_id", F.when(c("known"), c("product_id")).alias("product_id"), "bucket", F.when(buys, c("counted")).alias("counted"),
         F.when(buys, c("f.factor")).alias("factor"), F.when(buys, c("f.per")).alias("per"), F.when(buys, c("f.source")).alias("factor_source"),
-        F.when(buys, converted_quantity(c("quantity"), c("unit_code"), c("f"))).alias("qty"),
+        F.when(buys, converted_quantity(c("quantity"), c("unit_code"), c("f"), c("billed"))).alias("qty"),
     )
 
 

@@ -44,8 +44,10 @@ def _vectors(spark: SparkSession, sf_dir: str):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     none = F.array().cast("array<string>")
     pack = lambda k: F.when(F.col("vec_id") % k == 0, F.array(F.lit("XKG"))).when(F.col("vec_id") % k == 1, F.array(F.lit("XCS"), F.lit("XBO"))).otherwise(none)
-    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit("2020-06-01").cast("date").alias("date"), pack(40).alias("held"), F.col("label").alias("truth"))
-    wordings = e.filter("vec_id % 20 <> 0").select(F.concat(F.lit("ware."), F.col("label").cast("string")).alias("ware_id"), F.col("embedding").alias("vec"), F.lit(None).cast("date").alias("valid_from"), F.when(F.col("vec_id") % 9 == 0, F.lit("2020-01-01").cast("date")).alias("valid_to"), pack(3).alias("packages"))
+    date, none_on = F.lit("2020-06-01").cast("date").alias("date"), F.lit(None).cast("date")
+    truth = F.concat(F.lit("ware."), F.col("label").cast("string"))
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), date, pack(40).alias("held"), truth.alias("truth"))
+    wordings = e.select(truth.alias("ware_id"), F.col("embedding").alias("vec"), none_on.alias("valid_from"), none_on.alias("valid_to"), pack(3).alias("packages"))
     return queries, wordings
 
 
@@ -57,7 +59,7 @@ def rank_wares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, wordings = _vectors(spark, sf_dir)
     ranked = ranking.rank_wares(queries, wordings, n=6)
-    exact = queries.filter("query_id % 60 = 0").select("query_id", F.concat(F.lit("ware."), F.col("truth").cast("string")).alias("ware_id"))
+    exact = queries.filter("query_id % 300 = 0").select("query_id", F.col("truth").alias("ware_id"))
     return ranking.top_suggestions(ranked, exact, 4.0, -2.0).select("query_id", "ware_id", "source")
 
 
@@ -89,8 +91,21 @@ def latest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("product").alias("kind"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("rev"), F.when(F.col("event_type") == "error", F.col("event_id")).alias("deleted_at"), F.get_json_object("props", "$.k").alias("content"))
-    return groups.diff_rules(groups.latest_rules(e), groups.latest_rules(e.filter("rev < 5000")))
+    """What turns the rules of now back into those of half way through the log."""
+    deleted = F.when(F.col("event_type") == "error", F.col("event_id")).alias("deleted_at")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("product").alias("kind"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("rev"), deleted, F.col("props").alias("content"))
+    half = e.agg(F.floor(F.max("rev") / 2).alias("half"))  # one row
+    return groups.diff_rules(groups.latest_rules(e), groups.latest_rules(e.crossJoin(F.broadcast(half)).filter("rev <= half").drop("half")))
+
+
+def confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir).select(F.concat("pred", F.lit("."), "lang").alias("pred"), F.concat("truth", F.lit("."), "lang").alias("truth"))
+    return ranking.confusions(rows)
+
+
+def unify_suppliers(a: Audit) -> DataFrame:
+    fresh = a.v.invoices.withColumn("fresh", F.pmod(F.col("number").cast("bigint"), F.lit(3)) == 0).select("case_id", "invoice_id", "supplier_name", "source", "fresh")
+    return groups.unify_suppliers(fresh, a.v.lines).select("case_id", "invoice_id", "unified")
 
 
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +151,8 @@ QUERIES = {
     "coverage_curve": coverage_curve,
     "latest_rules": latest_rules,
     "diff_rules": diff_rules,
+    "confusions": confusions,
+    "unify_suppliers": _q(unify_suppliers),
     "text_keys": text_keys,
     "integer_math": integer_math,
     "parse_scaled": parse_scaled,
@@ -171,9 +188,26 @@ _ASOF = "latest AS (SELECT case_id, max(g.year) AS year FROM cases JOIN (SELECT
 _CLASS = f"""{_ASOF}, cls AS (SELECT c.case_id, a.year, min(class_ord) AS class_ord, min(class_name) AS class_name FROM cases c JOIN latest a ON a.case_id = c.case_id JOIN guideline g ON g.year = a.year AND starts_with(g.code, c.gewerbe)
     WHERE c.gewerbe <> '' GROUP BY c.case_id, a.year HAVING count(DISTINCT class_ord) = 1)"""
 _REV = "rev AS (SELECT d.case_id, revenue, CAST((CAST(revenue AS HUGEINT) - cost) * 10000 // cost AS BIGINT) AS markup FROM (SELECT case_id, CAST(sum(net) AS BIGINT) AS revenue FROM declared GROUP BY case_id) d JOIN (SELECT case_id, CAST(sum(abs(line_net)) AS BIGINT) AS cost FROM lines GROUP BY case_id) x ON x.case_id = d.case_id)"
-_ART = f"art AS (SELECT DISTINCT regexp_replace(lower(supplier_name), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g') AS k, {_CANON.format('name')} AS article FROM lines), sh AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM art a JOIN art b ON a.article = b.article AND a.k < b.k AND a.article <> '' GROUP BY ALL)"
-_VEC = """q AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 20 = 0),
-    w AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 20 <> 0 AND vec_id % 9 <> 0),
+_KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
+_ART = f"""art AS (SELECT DISTINCT {_KEY.format("supplier_name")} AS k, {_CANON.format('name')} AS article FROM lines),
+    sh AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM art a JOIN art b ON a.article = b.article AND a.k < b.k AND a.article <> '' GROUP BY ALL)"""
+_PAIRS = f"""item AS (SELECT DISTINCT case_id, {_KEY.format("supplier_name")} AS k, unnest(['a:' || nullif(seller_article_id, ''), 'g:' || nullif(gtin, ''), 'n:' || nullif({_CANON.format('name')}, '')]) AS item FROM lines),
+    met AS (SELECT a.case_id, a.k AS a, b.k AS b, count(*) AS shared FROM item a JOIN item b ON a.case_id = b.case_id AND a.item = b.item AND a.k <> b.k GROUP BY ALL),
+    pairs AS (SELECT *, row_number() OVER (PARTITION BY case_id, a ORDER BY shared DESC, b) AS rank FROM met
+        WHERE (length(a) >= 4 AND length(b) > length(a) AND contains(b, a)) OR (least(length(a), length(b)) >= 6 AND levenshtein(a, b) <= least(length(a), length(b)) // 6))"""
+_UNIFIED = f"""{_PAIRS}, inv AS (SELECT case_id, invoice_id, supplier_name, source <> 'scan' AS stated, CAST(number AS BIGINT) % 3 = 0 AS fresh, {_KEY.format("supplier_name")} AS k FROM invoices),
+    grp AS (SELECT case_id, k, bool_or(fresh) AS fresh, bool_or(NOT fresh) AS kept, bool_or(stated) AS stated, count(*) AS n FROM inv GROUP BY case_id, k),
+    link AS (SELECT p.case_id, a, b FROM pairs p JOIN grp g ON g.case_id = p.case_id AND g.k = p.a AND g.fresh WHERE rank = 1),
+    edge AS (SELECT case_id, a, b FROM link UNION SELECT case_id, b, a FROM link),
+    far AS (SELECT case_id, k, k AS u FROM grp UNION SELECT far.case_id, far.k, edge.b FROM far JOIN edge ON edge.case_id = far.case_id AND edge.a = far.u),
+    mem AS (SELECT grp.*, root, max(kept) OVER (PARTITION BY grp.case_id, root) AS held FROM grp JOIN (SELECT case_id, k, min(u) AS root FROM far GROUP BY case_id, k) r ON r.case_id = grp.case_id AND r.k = grp.k),
+    cand AS (SELECT * FROM mem WHERE kept OR NOT held),
+    pick AS (SELECT *, row_number() OVER (PARTITION BY case_id, root ORDER BY stated DESC, n DESC, length(k) DESC, k) AS rn FROM cand c
+        WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.case_id = c.case_id AND o.root = c.root AND length(o.k) > length(c.k) AND contains(o.k, c.k))),
+    spelled AS (SELECT p.case_id, p.root, i.supplier_name, row_number() OVER (PARTITION BY p.case_id, p.root ORDER BY bool_or(i.stated) DESC, count(*) DESC, regexp_matches(i.supplier_name, '\\p{{Ll}}') DESC, i.supplier_name) AS rn
+        FROM pick p JOIN inv i ON i.case_id = p.case_id AND i.k = p.k WHERE p.rn = 1 AND (NOT p.held OR NOT i.fresh) GROUP BY p.case_id, p.root, i.supplier_name)"""
+_VEC = """q AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 100 = 0),
+    w AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
     d AS (SELECT q.vec_id AS query_id, 'ware.' || CAST(any_value(label) AS STRING) AS ware_id, sum(CAST(q.x * w.x AS DOUBLE))
             - CASE WHEN (w.vec_id % 3 < 2) AND (q.vec_id % 40 < 2) AND NOT (w.vec_id % 3 = q.vec_id % 40) THEN 0.1 ELSE 0 END AS score FROM q JOIN w USING (i) GROUP BY q.vec_id, w.vec_id),
     b AS (SELECT query_id, ware_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, ware_id) AS rank FROM d GROUP BY query_id, ware_id)"""
@@ -206,8 +240,9 @@ ORACLES = {k: steps(s) for k, s in {
             CASE min(CASE WHEN m.confirmed IS NULL THEN 0 WHEN m.confirmed THEN 2 ELSE 1 END) WHEN 0 THEN 'pending' WHEN 1 THEN 'automatic' ELSE 'manual' END AS state
         FROM o_matched l LEFT JOIN mappings m ON m.mapping_id = l.match_id GROUP BY l.case_id, l.supplier_name, l.seller_article_id, upper(trim(l.unit_code))""",
     "shared_articles": f"WITH {_ART} SELECT * FROM sh",
-    "supplier_pairs": f"""WITH {_ART} SELECT a, b, shared, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM sh
-        WHERE (least(length(a), length(b)) >= 4 AND length(a) <> length(b) AND (contains(a, b) OR contains(b, a))) OR (least(length(a), length(b)) >= 6 AND levenshtein(a, b) <= least(length(a), length(b)) // 6)""",
+    "supplier_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
+    "unify_suppliers": f"""WITH RECURSIVE {_UNIFIED} SELECT i.case_id, i.invoice_id, CASE WHEN i.fresh THEN coalesce(s.supplier_name, i.supplier_name) ELSE i.supplier_name END AS unified
+        FROM inv i LEFT JOIN mem m ON m.case_id = i.case_id AND m.k = i.k LEFT JOIN spelled s ON s.case_id = m.case_id AND s.root = m.root AND s.rn = 1""",
     "vat_rows": """WITH d AS (SELECT case_id, vat, sum(net) AS n FROM declared GROUP BY ALL), k AS (SELECT case_id, vat, sum(line_net) AS n FROM lines GROUP BY ALL),
         f AS (SELECT coalesce(d.case_id, k.case_id) AS case_id, coalesce(d.vat, k.vat) AS vat, CAST(coalesce(d.n, 0) AS BIGINT) AS declared, CAST(coalesce(k.n, 0) AS BIGINT) AS calculated FROM d FULL JOIN k ON k.case_id = d.case_id AND k.vat = d.vat),
         r AS (SELECT case_id, vat, declared, calculated, false AS total FROM f WHERE declared <> 0 OR calculated <> 0 UNION ALL SELECT case_id, 0, CAST(sum(declared) AS BIGINT), CAST(sum(calculated) AS BIGINT), true FROM f GROUP BY case_id)
@@ -220,6 +255,20 @@ ORACLES = {k: steps(s) for k, s in {
     "class_f1": f"WITH {_LAB} SELECT c AS class, CAST(sum(h) AS BIGINT) AS hit, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(t) AS BIGINT) AS support FROM (SELECT truth AS c, 0 AS p, 1 AS t, CASE WHEN truth = pred THEN 1 ELSE 0 END AS h FROM lab UNION ALL SELECT pred, 1, 0, 0 FROM lab) x GROUP BY c",
     "match_report": f"WITH {_LAB} SELECT lang AS grp, count(*) AS n, count(*) FILTER (doc_id % 7 <> 0) AS with_expectation, count(*) FILTER (doc_id % 7 <> 0 AND truth = pred) AS top1, count(*) FILTER (doc_id % 7 <> 0 AND (truth = pred OR doc_id % 3 = 0)) AS top5 FROM lab GROUP BY GROUPING SETS ((lang), ())",
     "coverage_curve": f"WITH {_LAB}, r AS (SELECT truth = pred AS hit, row_number() OVER (ORDER BY doc_id % 99 DESC, CAST(doc_id AS STRING)) AS place, count(*) OVER () AS total FROM lab) SELECT CAST(s AS INTEGER) AS share, count(*) AS n, count(*) FILTER (hit) AS hits FROM r CROSS JOIN (SELECT unnest([25, 50, 75, 100]) AS s) c WHERE place <= total * s // 100 GROUP BY s",
+    "top_suggestions": f"""WITH {_VEC}, ex AS (SELECT vec_id AS query_id, 'ware.' || CAST(label AS STRING) AS ware_id FROM embeddings WHERE vec_id % 300 = 0),
+        o AS (SELECT b.*, row_number() OVER (PARTITION BY b.query_id ORDER BY rank) AS rn FROM b LEFT JOIN ex ON ex.query_id = b.query_id AND ex.ware_id = b.ware_id WHERE ex.query_id IS NULL AND rank <= 6)
+        SELECT query_id, ware_id, 'exact' AS source FROM ex UNION ALL SELECT query_id, ware_id, 'encoder' FROM o WHERE rn <= 5 AND greatest(1, least(99, round_even(100 / (1 + exp(-(score * 4.0 - 2.0))), 0))) >= 20""",
+    "confusions": f"""WITH {_LAB} SELECT pred || '.' || lang AS pred, truth || '.' || lang AS truth, count(*) AS n FROM lab WHERE pred <> truth GROUP BY ALL ORDER BY n DESC, 1, 2 LIMIT 40""",
+    "diff_rules": """WITH e AS (SELECT CAST(user_id AS STRING) AS id, event_id AS rev, event_type <> 'error' AS live, props AS content FROM events),
+        now AS (SELECT id, arg_max(content, rev) AS content, arg_max(live, rev) AS live FROM e GROUP BY id),
+        past AS (SELECT id, arg_max(content, rev) AS content, arg_max(live, rev) AS live FROM e WHERE rev <= (SELECT max(rev) // 2 FROM e) GROUP BY id)
+        SELECT 'product' AS kind, coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'delete' ELSE 'put' END AS step
+        FROM (SELECT * FROM now WHERE live) a FULL JOIN (SELECT * FROM past WHERE live) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.content <> b.content""",
+    "text_keys": f"""SELECT s, {_CANON.format("s")} AS canonical, {_KEY.format("s")} AS key, trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS heading,
+        regexp_replace(replace(replace(replace(replace(lower(s), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '', 'g') AS folded,
+        CASE WHEN regexp_matches(s, '\\p{{Ll}}') THEN s ELSE array_to_string([r[1] || lower(r[2:]) FOR r IN regexp_extract_all(s, '\\p{{L}}+|[^\\p{{L}}]+')], '') END AS title,
+        CASE WHEN CAST('0x' || substr(sha256(s), 1, 12) AS BIGINT) % 1000 < 200 THEN 'val' ELSE 'train' END AS split
+        FROM (SELECT s_name || ' GmbH & Co. Öl-Groß' AS s FROM supplier UNION ALL SELECT DISTINCT upper(p_name) FROM part) t""",
     "latest_rules": f"SELECT 'product' AS kind, CAST(user_id AS STRING) AS id, event_id AS rev, props AS content FROM ({_LATEST}) t WHERE rn = 1 AND event_type <> 'error'",
     "integer_math": """SELECT n, d, n // d AS cut, CAST(sign(n) * ((abs(n) + d // 2) // d) AS BIGINT) AS rounded, CAST(gcd(abs(n), d) AS BIGINT) AS gcd, (n - d) * 10000 // d AS markup
         FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * l_partkey AS n, l_suppkey + 1 AS d FROM lineitem) t""",

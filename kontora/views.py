@@ -118,11 +118,16 @@ VIEWS: dict[str, str] = {
     "declared": """
         SELECT 'case.' || CAST(c_nationkey AS STRING) AS case_id, CAST(CASE o_custkey % 4 WHEN 0 THEN 700 WHEN 1 THEN 0 WHEN 2 THEN 1600 ELSE 1900 END AS BIGINT) AS vat, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS net
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+    "segments": """
+        SELECT c_mktsegment AS segment, CAST(row_number() OVER (ORDER BY c_mktsegment) AS BIGINT) AS class_ord FROM (SELECT DISTINCT c_mktsegment FROM customer) s""",
+    "segment_years": """
+        SELECT CAST(year(o_orderdate) AS BIGINT) AS year, c_mktsegment AS segment, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total, count(*) AS n
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "guideline": """
-        SELECT CAST(year AS BIGINT) AS year, CAST(class_ord AS BIGINT) AS class_ord, 'Klasse ' || CAST(class_ord AS STRING) AS class_name, code, CAST(band AS BIGINT) AS band,
-               CASE WHEN band > 0 THEN CAST(band AS BIGINT) * 20000000000 END AS above, CASE WHEN band < 2 THEN CAST(band + 1 AS BIGINT) * 20000000000 END AS upto,
-               CASE WHEN band <> 1 OR class_ord <> 2 THEN CAST(10000 + 1000 * band AS BIGINT) END AS rate_from, CAST(30000 + 1000 * band AS BIGINT) AS rate_to, CAST(20000 AS BIGINT) AS rate_mean
-        FROM (SELECT 1996 AS year UNION ALL SELECT 2000 UNION ALL SELECT 2003) y CROSS JOIN (SELECT 1 AS class_ord, '561' AS code UNION ALL SELECT 2, '4711' UNION ALL SELECT 3, '10710' UNION ALL SELECT 4, '1071') c CROSS JOIN (SELECT 0 AS band UNION ALL SELECT 1 UNION ALL SELECT 2) b""",
+        SELECT year, class_ord, 'Klasse ' || segment AS class_name, CASE class_ord WHEN 1 THEN '561' WHEN 2 THEN '4711' WHEN 3 THEN '10710' WHEN 4 THEN '1071' ELSE '5610' END AS code, CAST(band AS BIGINT) AS band,
+               CASE WHEN band > 0 THEN CAST(band * floor(total / 20) AS BIGINT) END AS above, CASE WHEN band < 2 THEN CAST((band + 1) * floor(total / 20) AS BIGINT) END AS upto,
+               CASE WHEN band <> 1 OR class_ord <> 2 THEN CAST(10000 + n % 100 + 1000 * band AS BIGINT) END AS rate_from, CAST(30000 + n % 100 + 1000 * band AS BIGINT) AS rate_to, CAST(20000 + n % 100 AS BIGINT) AS rate_mean
+        FROM segment_years JOIN segments USING (segment) CROSS JOIN (SELECT 0 AS band UNION ALL SELECT 1 UNION ALL SELECT 2) b WHERE year % 2 = 0""",
 }
 
 
