@@ -7,7 +7,9 @@ shingle of their prefixes, the first quarter and one. Documents with equal sets
 The first shingle that two sets share, in that order, has nothing in common before it. So the positional filter may ask
 that what is left of either set after that shingle still reaches the overlap that is needed; a pair of similar sets passes
 it at its first common shingle, whatever the others do. As suffix filter comes a bound on the difference of the sets from
-their counts in ranges of fingerprints; what is left is verified once, on the whole sets.
+their counts in ranges of fingerprints; what is left is verified once, on the whole sets. Where many pairs are made, a
+bound of fixed size comes first: a bit for each of 512 hash values that is set where a set holds an odd number of shingles
+with it. Every shingle that only one of two sets holds turns one bit, so that they differ in no more bits than shingles.
 
 A group of many near copies would make pairs with the square of its size. So each prefix shingle first pairs its documents
 with one head only, the one with the fewest shingles before it: in a group of copies that is the text which the others
@@ -18,6 +20,7 @@ join components; after that, all pairs that are left between components are made
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +39,8 @@ FAN = 64
 LOAD = 4
 FILTER_BITS = 23
 TEXT = 1
+#: Words of 64 bits that hold the odd hash values of a set.
+ODD = 8
 #: Bits of a key that hold the size of the set; the place in the prefix stands above them.
 SIZE_BITS = 32
 
@@ -112,8 +117,15 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def odd_bits(doc: np.ndarray, value: np.ndarray, docs: int) -> np.ndarray:
+    """ODD words of bits for each document: which hash values an odd number of its shingles have."""
+    width = 64 * ODD
+    cell = doc * width + (mix(value, 53) & U(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=docs * width) & 1).astype(np.uint8)).view(np.int64).reshape(docs, ODD)
+
+
 def features(rows: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """id, n, two fingerprints of the set, its prefix in global order and its counts by range of fingerprints."""
+    """id, n, two fingerprints of the set, its odd bits, its prefix in global order and its counts by range of fingerprints."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # one byte per cell of the fixed-size sketch
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -132,15 +144,18 @@ def features(rows: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -
                 prefix = pa.ListArray.from_arrays(ends, pa.array(ranked[take].view(np.int64)))
                 total = lambda v: pa.array(np.diff(np.concatenate([np.zeros(1, U), np.cumsum(v)])[first]).view(np.int64))  # noqa: B023, E731
                 # four to eight shingles to a range, so that the counts of unrelated sets of any size differ
-                bits = np.floor(np.log2(np.maximum(size, 8) / LOAD)).astype(np.int64)
-                at = np.concatenate([[0], np.cumsum(1 << bits)])
-                cell = (value >> (U(64) - bits[doc].astype(U))).astype(np.int64) + at[doc]
+                fine = np.floor(np.log2(np.maximum(size, 8) / LOAD)).astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(1 << fine)])
+                cell = (value >> (U(64) - fine[doc].astype(U))).astype(np.int64) + at[doc]
                 flat = pa.array(np.minimum(np.bincount(cell, minlength=at[-1]), 32767).astype(np.int16))
                 hist = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat)
                 columns = [b.column(0), pa.array(size.astype(np.int64)), total(mix(value, 41)), total(mix(value, 43)), prefix, hist]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "one", "two", "prefix", "hist"])
+                bits = [pa.array(x) for x in odd_bits(doc, value, len(b)).T]
+                yield pa.RecordBatch.from_arrays([*columns, *bits], names=["id", "n", "one", "two", "prefix", "hist", *odd])
 
-    return rows.mapInArrow(make, f"id {kind}, n long, one long, two long, prefix array<long>, hist array<short>")
+    odd = [f"odd{k}" for k in range(ODD)]
+    kinds = ", ".join(f"{x} long" for x in odd)
+    return rows.mapInArrow(make, f"id {kind}, n long, one long, two long, prefix array<long>, hist array<short>, {kinds}")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -240,6 +255,13 @@ def reaches(x: Column, y: Column, num: int, den: int) -> Column:
     return (spare(x) >= F.lit(num) * size_of(y)) & (spare(y) >= F.lit(num) * size_of(x))
 
 
+def _may_differ(num: int, den: int) -> Column:
+    """Whether the odd bits of a and b differ in no more places than sets of their sizes may."""
+    bits = [F.bit_count(F.col(f"a.odd{k}").bitwiseXOR(F.col(f"b.odd{k}"))).cast("bigint") for k in range(ODD)]
+    apart = reduce(lambda x, y: x + y, bits)
+    return apart * F.lit(num + den) <= (size_of(F.col("a.key")) + size_of(F.col("b.key"))) * F.lit(den - num)
+
+
 def _close(na: Column, nb: Column, ha: Column, hb: Column, num: int, den: int) -> Column:
     """Length and suffix filter: sets differ at least by the differences of their counts in each range.
 
@@ -294,10 +316,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = met.filter("c > 2").select("token", "id", "key")
     placed = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) if roots else placed.withColumn("root", F.col("id"))
     several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    left = stored(placed.join(several, "token", "left_semi"), "mixed-prefixes")
+    odd = feats.select("id", *[f"odd{k}" for k in range(ODD)])
+    left = stored(placed.join(several, "token", "left_semi").join(odd, "id"), "mixed-prefixes")
     a, b = left.alias("a"), left.alias("b")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    pairs = a.join(b, meet & reaches(F.col("a.key"), F.col("b.key"), num, den)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    near = reaches(F.col("a.key"), F.col("b.key"), num, den) & _may_differ(num, den)
+    pairs = a.join(b, meet & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     more = verified(stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "other-pairs"), "other")
     if more is not None:
         roots = components(links.unionByName(more) if links else more)
