@@ -99,6 +99,12 @@ VIEWS: dict[str, str] = {
                 SELECT case_id, product_id, 300 + brand, CAST(1900 AS BIGINT) FROM cases CROSS JOIN wares WHERE kind = 'PROMO' AND (brand + case_no) % 4 <> 1
             ) p
         ) q""",
+    "demand": """
+        SELECT p.case_id, p.product_id, 0 AS route, r.part_id, r.amount FROM case_products p JOIN recipes r ON r.product_id = p.product_id""",
+    "taken": """
+        SELECT case_id, product_id, 0 AS route, (ord * 7) % 50 AS portions FROM case_products""",
+    "category_codes": """
+        SELECT category_id, CASE name WHEN 'ECONOMY' THEN '56' WHEN 'SMALL' THEN '5610' ELSE '471' END AS code FROM categories WHERE name IN ('ECONOMY', 'SMALL', 'LARGE')""",
     "no_revenue": """
         SELECT case_id, product_id FROM cases CROSS JOIN wares WHERE (kind = 'PROMO' OR kind = 'ECONOMY') AND (brand + case_no) % 8 = 0""",
     "inventory": """
