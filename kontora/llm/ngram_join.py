@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -317,10 +317,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) if roots else placed.withColumn("root", F.col("id"))
     several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     odd = feats.select("id", *[f"odd{k}" for k in range(ODD)])
-    left = stored(placed.join(several, "token", "left_semi").join(odd, "id"), "mixed-prefixes")
+    order = Window.partitionBy("id").orderBy("key")
+    earlier = [F.lag("token", k).over(order).alias(f"before{k}") for k in (1, 2)]
+    left = placed.join(several, "token", "left_semi").join(odd, "id").select("*", *earlier)
+    left = stored(left, "mixed-prefixes")
     a, b = left.alias("a"), left.alias("b")
+    # two documents that share one of the shingles right before this one met there, or earlier still
+    met_before = [F.coalesce(F.col(f"a.before{i}") == F.col(f"b.before{j}"), F.lit(False)) for i in (1, 2) for j in (1, 2)]
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    near = reaches(F.col("a.key"), F.col("b.key"), num, den) & _may_differ(num, den)
+    near = reaches(F.col("a.key"), F.col("b.key"), num, den) & _may_differ(num, den) & ~reduce(lambda x, y: x | y, met_before)
     pairs = a.join(b, meet & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     more = verified(stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "other-pairs"), "other")
     if more is not None:
