@@ -44,8 +44,8 @@ def _auto(a: Audit) -> DataFrame:
     return counts.join(own.groupBy("case_id").agg(F.count("*").alias("n_own")), "case_id", "left")
 
 
-def _ubl(a: Audit) -> DataFrame:
-    """Lines written as electronic invoices and read again."""
+def ubl_files(a: Audit) -> str:
+    """Lines written as electronic invoices; the folder they are in."""
     c = F.col
     tag = lambda name, value, extra="": F.concat(F.lit(f"<cbc:{name}{extra}>"), value, F.lit(f"</cbc:{name}>"))
     milli = lambda x, d: (x / F.lit(10**d)).cast(f"decimal(30,{d})").cast("string")
@@ -61,7 +61,12 @@ def _ubl(a: Audit) -> DataFrame:
     files = max(1, a.v.invoices.count() // 200)
     whole = body.select(head.alias("x"), F.pmod(F.xxhash64("invoice_id"), F.lit(files)).alias("file")).groupBy("file").agg(F.concat(F.lit("<All>"), F.array_join(F.collect_list("x"), ""), F.lit("</All>")).alias("value"))
     whole.repartition(files, "file").write.partitionBy("file").text(path)
-    _, lines = documents.read_ubl(a.v.spark, path)
+    return path
+
+
+def _ubl(a: Audit) -> DataFrame:
+    c = F.col
+    _, lines = documents.read_ubl(a.v.spark, ubl_files(a))
     return lines.select(c("number").alias("invoice_id"), (c("ord") + 1).alias("ord"), "no", "name", "seller_article_id", "quantity", "unit_price", "line_net", "vat")
 
 
