@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import settings, stored
 from .words import WORD_BASE, Ranges, U, Words, mix, slices, words
 
 SKETCH_BITS = 22
@@ -39,6 +39,8 @@ FAN = 64
 LOAD = 4
 FILTER_BITS = 23
 TEXT = 1
+#: Bytes of text that are worked on at once, and rows of a batch: they bound the memory of a Python worker.
+SLICE, BATCH = 1_000_000, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Words of 64 bits that hold the odd hash values of a set.
 ODD = 8
 #: Bits of a key that hold the size of the set; the place in the prefix stands above them.
@@ -79,9 +81,9 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
     sums = "part int, at int, counts binary, total long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        total = np.zeros(width, np.int32)  # of one task
         for whole in batches:
-            for b in slices(whole, TEXT):
+            for b in slices(whole, TEXT, SLICE):
                 np.add.at(total, *np.unique(cells(shingle_sets(words(b.column(TEXT)), n)[1]), return_counts=True))
         at = TaskContext.get().partitionId()
         for k, part in enumerate(np.split(total, PARTS)):
@@ -132,7 +134,7 @@ def features(rows: DataFrame, classes: np.ndarray, n: int, num: int, den: int) -
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls = shared.value
         for whole in batches:
-            for b in slices(whole, TEXT):
+            for b in slices(whole, TEXT, SLICE):
                 doc, value = shingle_sets(words(b.column(TEXT)), n)
                 size = np.bincount(doc, minlength=len(b))
                 first = np.concatenate([[0], np.cumsum(size)])
@@ -186,7 +188,7 @@ def sets_of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for whole in batches:
             at = np.asarray(whole.column(2), dtype=np.int64)
             whole = whole.filter(pa.array(known[at >> 3] >> (at & 7) & 1 > 0))
-            for b in slices(whole, TEXT):
+            for b in slices(whole, TEXT, SLICE):
                 doc, value = shingle_sets(words(b.column(TEXT)), n)
                 size = np.bincount(doc, minlength=len(b))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int64))
@@ -285,6 +287,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have no shingles and link with nothing. Rows that repeat an id are one document in the result of the search; each
     gets its row. A table without rows gives none. Other columns of docs are ignored.
     """
+    with settings(docs.sparkSession, BATCH):  # all that runs in Python is done when this returns
+        return _near_duplicates(docs, id_col, text_col, n, num, den)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     feats = stored(features(rows, sketch(rows, n), n, num, den), "shingle-features")
     # equal sets first: the least id stands for all of them wherever pairs are looked at

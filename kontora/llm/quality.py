@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_RUN, let
+from .common import WHITE, WHITE_RUN, let, unused
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -78,9 +78,9 @@ def _measured(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), of)
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the struct _m of all counts; the work of a text happens once, in this projection."""
-    return docs.withColumn("_m", _measured(F.col(text_col)))
+def measures(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with a struct of all counts under a name; the work of a text happens once, in this projection."""
+    return docs.withColumn(name, _measured(F.col(text_col)))
 
 
 def verdict(m: Column, rules=RULES) -> dict[str, Column]:
@@ -111,18 +111,22 @@ def quality(docs: DataFrame, text_col: str = "text", rules=RULES, base=BASE) ->
     A null, empty or blank text has no words and fails the length rule. Columns of these names in docs are replaced;
     all others pass through. Rows are judged one by one: ties and repeated rows get the same verdict each.
     """
-    m = F.col("_m")
+    name = unused(docs, "_measures")
+    m = F.col(name)
     tests = verdict(m, rules)
     failed = ~reduce(lambda a, b: a & b, [tests[k] for k in base])
     return (
-        measures(docs, text_col)
+        measures(docs, name, text_col)
         .withColumns({"n_words": m.w.n_words, "word_chars": m.w.word_chars, "n_symbols": m.n_symbols, "n_dup_lines": m.l.n_dup_lines, "n_repeat_words": m.w.n_repeat_words, "n_stop_words": m.w.n_stop_words, "base_failed": failed, "kept": reduce(lambda a, b: a & b, tests.values())})
-        .drop("_m")
+        .drop(name)
     )
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text passes every rule, with the columns of docs."""
-    m = F.col("_m")
-    passes = reduce(lambda a, b: a & b, verdict(m).values())
-    return measures(docs, text_col).filter(passes).drop("_m")
+    """The rows of docs whose text passes every rule, with the columns of docs, which may have any names.
+
+    Null, empty and blank texts go; rows that repeat stay or go together; an empty table stays empty.
+    """
+    name = unused(docs, "_measures")
+    passes = reduce(lambda a, b: a & b, verdict(F.col(name)).values())
+    return measures(docs, name, text_col).filter(passes).drop(name)

@@ -85,7 +85,24 @@ def _canonical(x: str) -> str:
 
 _LICENSES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.KNOWN)
 
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+
 ORACLES = {
+    "op5_quality": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n FROM p),
+        r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS j FROM g WHERE n > 1) x GROUP BY doc_id),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+        u AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+        m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     coalesce(u.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(u.lines, 0) AS lines, len([w FOR w IN ws IF lower(w) IN ({_STOP})]) AS stop
+              FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id),
+        v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1 AND (n_words < 50 OR stop / n_words >= 0.02) AND n_dup_lines / greatest(lines, 1) <= 0.5 AS kept
+        FROM v
+    """,
     "op6_licenses": f"""
         WITH k AS (SELECT sha256({_canonical("text")}) AS digest, min(id) AS license_id FROM (VALUES {_LICENSES}) t(id, text) GROUP BY 1),
         d AS (SELECT doc_id, coalesce(text, '') AS t, {_canonical("coalesce(text, '')")} AS c FROM documents),
