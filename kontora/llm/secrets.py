@@ -4,14 +4,16 @@ Every string of sixteen or more characters out of A-Z a-z 0-9 + / _ - is put dow
 it (digits, hexadecimal, letters, base 32, base 36, base 62, base 64); a string that fits none, as of a path or URL, is
 split at '/' and, where a part still fits none, at '+'. Three tests of the hypothesis that its characters are drawn
 evenly and independently give p-values: chi-squared against an even spread over the alphabet, the number of runs above
-and below the alphabet's middle, and the lag-one serial correlation. The smallest of the three, times three, is the
-string's p-value. Strings whose hypothesis is rejected are structured text; what remains looks random and is reported.
-Rejections are chosen by the Benjamini-Hochberg rule inside classes of length, from counts of p-values over the whole
-corpus; only strings whose length times bits per character gives the tests power are reported at all.
-
-What the rule bounds is the share of random strings among those put down as structured (0.05 in each class). It does not
-bound the share of structured strings among those reported; the more structured strings a class holds, the nearer its cut
-comes to p = 0.05, so that up to about one in twenty random strings is lost.
+and below the alphabet's middle, and the lag-one serial correlation. The chance that the smallest of three such
+values is as small as theirs is the string's p-value. Small ones are structured text; the rest looks random and is reported,
+if its length times bits per character gives the tests power.
+
+Where the line lies is decided inside classes of length, from counts of p-values over the whole corpus, by two rules. The
+discoveries are the strings reported: p-values of random strings are spread evenly, so that the ones above FLAT tell how
+many random strings there are and how many of them lie above any line; what else lies there is structured. The line is
+drawn where that is LEVEL of the strings reported at most, but for a square root of their number, which is what chance
+moves the estimate by. And the Benjamini-Hochberg rule puts down as structured what is so at the same level, which costs
+about one in twenty random strings at most.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ MIN_BITS = 96.0
 #: Keys of sixteen characters are usual in these; words cannot be spelled in the first two.
 SHORT_BITS = {"hex": 64.0, "HEX": 64.0, "base62": 95.0}
 LEVEL = 0.05
+#: p-values above this are those of random strings.
+FLAT = 0.25
 BINS = 400
 CLASSES = (24, 32, 48, 64, 128)
 
@@ -109,7 +113,7 @@ def battery(m: Column) -> Column:
                 return F.when(spread > 0, 2 * _tail(F.abs(lag / spread * F.sqrt(n)))).otherwise(F.lit(0.0))
 
             p_serial = let(mu, serial)
-            return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+            return 1 - F.pow(1 - F.least(F.lit(1.0), p_chi, p_runs, p_serial), F.lit(3.0))
 
         return F.struct(a.alias("a"), let(codes, of).alias("p"))
 
@@ -139,15 +143,24 @@ def p_bin(p: Column) -> Column:
 
 
 def rejection_limits(scored: DataFrame, level: float = LEVEL) -> DataFrame:
-    """Benjamini-Hochberg inside each length class, from binned p-values over all strings: class, last rejected bin.
+    """(cls, last): the last bin of each length class that is not reported, from binned p-values over all strings.
 
-    A bin counts with its upper end, so that the rule is never looser than with exact p-values.
+    A bin counts with its upper end, so that the Benjamini-Hochberg rule is never looser than with exact p-values.
     """
-    bins = scored.select(F.explode("cands").alias("c")).select(length_class(F.length("c.m")).alias("cls"), p_bin(F.col("c.p")).alias("bin")).groupBy("cls", "bin").count()
-    upto = Window.partitionBy("cls").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    upper = F.exp((F.col("bin") + 2 - BINS) / F.lit(BINS / 40.0))
-    ranked = bins.withColumn("rank", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy("cls")))
-    return ranked.filter(upper * F.col("all") <= F.lit(level) * F.col("rank")).groupBy("cls").agg(F.max("bin").alias("last"))
+    c = F.col
+    bins = scored.select(F.explode("cands").alias("c")).select(length_class(F.length("c.m")).alias("cls"), p_bin(c("c.p")).alias("bin")).groupBy("cls", "bin").count()
+    within = Window.partitionBy("cls")  # BINS rows at most
+    upto = within.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    upper = F.least(F.lit(1.0), F.exp((c("bin") + 2 - BINS) / F.lit(BINS / 40.0)))
+    ranked = bins.withColumns({"rank": F.sum("count").over(upto), "all": F.sum("count").over(within), "upper": upper})
+    random = F.sum(F.when(c("upper") > FLAT, c("count")).otherwise(0)).over(within) / (1 - FLAT)
+    structured = lambda n, share: n - F.least(n, c("random") * share)
+    few = lambda n, share: structured(n, share) <= F.lit(level) * n + F.sqrt(n)
+    tested = ranked.withColumn("random", random).withColumn("above", c("all") - c("rank"))
+    tested = tested.withColumns({"none": few(c("all"), F.lit(1.0)), "here": few(c("above"), 1 - c("upper")), "put_down": c("upper") * c("all") <= F.lit(level) * c("rank")})
+    lines = tested.groupBy("cls").agg(F.bool_and("none").alias("none"), F.min(F.when(c("here"), c("bin"))).alias("cut"), F.max(F.when(c("put_down"), c("bin"))).alias("down"))
+    cut = F.when(c("none"), -1).otherwise(F.coalesce("cut", F.lit(BINS)))
+    return lines.select("cls", F.greatest(cut, F.coalesce("down", F.lit(-1))).alias("last"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
