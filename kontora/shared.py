@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared folder named by spark.checkpoint.dir; a temporary one of our own where that is unset."""
+    """A new folder in the shared folder named by spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster it is an error, as executors
+    would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-kontora-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

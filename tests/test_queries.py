@@ -9,7 +9,20 @@ def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["match_mapping", "route_summary", "line_totals", "check_invoices", "vat_rows", "class_of", "reachable"])
+def _shown(x):
+    return f"{x:.9g}" if isinstance(x, float) else str(x)
+
+
+#: Queries that run within seconds on the smallest tables; the others are compared by the driver.
+QUICK = """match_mapping route_summary line_totals check_invoices vat_rows class_of reachable supplier_pairs unify_suppliers rank_wares
+top_suggestions diff_rules text_keys confusions estimate_groups and_more ware_filter used_in change_rules rescale_guard seed_rules
+diff_case amend purge stale_recipes upsert_invoices unseat_default promote_mapping drop_promoted_recipes users_of parse_number
+parse_date unit_text cell_text display_units containers regroup_quantity group_rows cells segments items wrap_rows windows
+label_words truth_coverage ocr_ceiling item_of score_documents score_report match_lines piece_weight_audit build_wordings
+read_vectors structure_score validate_corpus complete_units infer_vat source_row add_charges row_roles read_page_rows""".split()
+
+
+@pytest.mark.parametrize("name", QUICK)
 def test_against_duckdb(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -17,8 +30,8 @@ def test_against_duckdb(spark, sf, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(registry.ORACLES[name])
     columns = [d[0] for d in want.description]
-    rows = sorted(map(repr, ([*map(str, r)] for r in want.fetchall())))
-    got = sorted(map(repr, ([*map(str, r)] for r in registry.QUERIES[name](spark, sf).select(*columns).collect())))
+    rows = sorted(map(repr, ([*map(_shown, r)] for r in want.fetchall())))
+    got = sorted(map(repr, ([*map(_shown, r)] for r in registry.QUERIES[name](spark, sf).select(*columns).collect())))
     assert got == rows
 
 
