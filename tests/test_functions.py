@@ -71,3 +71,11 @@ def test_units(spark):
     c = F.col("s")
     got = one(spark, "s string", [(" kg. ",), ("XCS",), ("Flaschen",), ("?",), (None,)], u.unit(c)["code"], u.base_unit(c))
     assert got == [("KGM", "g"), ("XCS", None), ("XBO", None), (None, None), (None, None)]
+
+
+def test_names_and_labels(spark):
+    from kontora.functions import reading
+
+    df = spark.createDataFrame([(["Pils 0,5", "pils", "Korn"], [0.0, 2.0, 1.0]), (["a", "A"], [5.0])], "p array<string>, l array<double>")
+    got = df.select(reading.undouble_name(F.col("p")).alias("n"), reading.label_conf(F.col("l")).alias("c")).collect()
+    assert [(r.n, r.c.label, r.c.conf) for r in got] == [("Pils 0,5 Korn", 1, 0.665), ("a", 0, 1.0)]
