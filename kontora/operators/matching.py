@@ -43,17 +43,15 @@ def match_mapping(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     The id that a line carries wins outright, even if expired; then supplier and article number, GTIN and canonical name,
     each among usable mappings, the smallest id first. The mappings of a key are put together in one table, which is
     written, so that Spark knows its size when it chooses how to join; lines meet it once per tier and never go back to
-    themselves. Names are made canonical once each.
+    themselves.
     """
     c = F.col
     hits = stored(_hits(mappings), "mapping-keys")
     tier = lambda k, name: hits.filter(c("tier") == k).select(c("key").alias(f"_key{k}"), c("hits").alias(name))
-    names = lines.select("name").distinct().withColumn("_key3", _full(canonical_name(c("name"))))
-    by_name = stored(names.join(tier(3, "_hits3"), "_key3").select(c("name").alias("_name"), "_hits3"), "mapping-names")
     both = F.when(_full(c("supplier_name")).isNotNull() & _full(c("seller_article_id")).isNotNull(), F.concat("supplier_name", F.lit(SEP), "seller_article_id"))
-    met = lines.withColumns({"_own": _full(c("mapping_id")), "_article": both, "_gtin": _full(c("gtin"))})
+    met = lines.withColumns({"_own": _full(c("mapping_id")), "_article": both, "_gtin": _full(c("gtin")), "_canonical": _full(canonical_name(c("name")))})
     met = met.join(tier(0, "_hits0"), c("_own") == c("_key0"), "left").join(tier(1, "_hits1"), c("_article") == c("_key1"), "left")
-    met = met.join(tier(2, "_hits2"), c("_gtin") == c("_key2"), "left").join(by_name, c("name") == c("_name"), "left")
+    met = met.join(tier(2, "_hits2"), c("_gtin") == c("_key2"), "left").join(tier(3, "_hits3"), c("_canonical") == c("_key3"), "left")
     fits = lambda h: usable(h.unit_code, h.valid_from, h.valid_to, c("unit_code"), c("date"))
     first = F.coalesce(F.get("_hits0", F.lit(0)), *[F.get(F.filter(f"_hits{k}", fits), F.lit(0)) for k in (1, 2, 3)])
     best = met.withColumn("_best", first)

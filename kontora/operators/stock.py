@@ -30,8 +30,9 @@ def route_lines(lines: DataFrame, mappings: DataFrame, products: DataFrame, cate
     c = F.col
     piece = F.when(c("piece_amount").isNotNull(), F.struct(c("piece_amount").alias("amount"), c("piece_unit").alias("unit")))
     p = with_division(products, categories).select("product_id", base_unit(c("unit")).alias("counted"), "goods", piece.alias("piece"), F.lit(True).alias("known"))
-    packs = stored(lines.select(c("name").alias("_name")).distinct().withColumn("pack", pack_size(c("_name"))).filter("pack is not null"), "packs")
-    codes = stored(lines.select(c("unit_code").alias("_code")).distinct().withColumn("billed", unit(c("_code"))).filter("billed is not null"), "codes")
+    printed = stored(lines.select(c("name").alias("_name"), c("unit_code").alias("_code")).distinct(), "names-and-codes")
+    packs = stored(printed.select("_name").distinct().withColumn("pack", pack_size(c("_name"))).filter("pack is not null"), "packs")
+    codes = stored(printed.select("_code").distinct().withColumn("billed", unit(c("_code"))).filter("billed is not null"), "codes")
     matched = match_mapping(lines, mappings).join(p, "product_id", "left")
     matched = matched.join(packs, c("name") == c("_name"), "left").join(codes, c("unit_code") == c("_code"), "left")
     matched = matched.join(reached.select("case_id", "product_id", F.lit(True).alias("is_reached")), ["case_id", "product_id"], "left")
