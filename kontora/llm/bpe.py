@@ -114,29 +114,35 @@ class Parts:
 class Codec:
     """Encoder and decoder of one worker process. Ids are numpy arrays of little-endian unsigned 32-bit integers."""
 
-    _made: dict[str, Codec] = {}
+    _made: dict[tuple, Codec] = {}
 
-    def __init__(self, path: str, cache_size: int = 500_000, cached_bytes: int = 64):
+    def __init__(self, path: str, plain: bool = False, cache_size: int = 500_000, cached_bytes: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
+        self.lib.encode_special_tokens = plain  # their strings are then ordinary text
         self.known, self.cached_bytes = Parts(cache_size), cached_bytes
         bytes_of, added = _char_bytes(), self.lib.get_added_tokens_decoder()
         size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.table = [added[i].content.encode() if i in added else bytes(bytes_of[c] for c in self.lib.id_to_token(i)) for i in range(size)]
+        self._tokens([added[i].content.encode() if i in added else bytes(bytes_of[c] for c in self.lib.id_to_token(i)) for i in range(size)])
+
+    def _tokens(self, table: list[bytes]) -> None:
+        """The bytes of each token, and arrays made of them."""
+        self.table = table
         self.lengths = np.array([len(b) for b in self.table], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.flat = np.frombuffer(b"".join(self.table), np.uint8)
         self.leads = np.array([not b or b[0] & 0xC0 != 0x80 for b in self.table])
 
     @classmethod
-    def of(cls, path: str) -> Codec:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, *how) -> Codec:
+        key = (cls, path, *how)
+        if key not in cls._made:
+            cls._made[key] = cls(path, *how)
+        return cls._made[key]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -219,7 +225,10 @@ class Codec:
             place = np.cumsum(plain) - 1
             each = [np.frombuffer(own[k], "<u4") if k in own else ids[at[place[k]] : at[place[k] + 1]] for k in range(len(texts))]
             return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        white = (data == 32) | (data == 10)
+        return self._cut_at(data, offsets, (data == 32) | (data == 10))
+
+    def _cut_at(self, data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, encoded in parts that begin at white bytes after others."""
         begins = np.zeros(len(data) + 1, bool)
         begins[1:-1] = white[1:] & ~white[:-1]
         begins[offsets] = True
@@ -234,7 +243,7 @@ class Codec:
             counts.append(count)
             low = high
         if not flats:
-            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         return np.concatenate(flats), total[np.searchsorted(starts, offsets)]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_files
+from . import alignment, bpe, exact_dedup, inner_products, licenses, mixing, ngram_join, pii, quality, secrets, spelling, substring_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -58,6 +58,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.scan(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return inner_products.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
@@ -69,6 +83,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
+    "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_top_k": op13_top_k,
 }
 
 #: The words of a text, as SQL.
@@ -85,6 +102,13 @@ def _canonical(x: str) -> str:
 
 _LICENSES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.KNOWN)
 
+#: The table of the usual checksum of 32 bits, from its polynomial.
+_CRC = []
+for _c in range(256):
+    for _ in range(8):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC.append(_c)
+
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
 
 ORACLES = {
@@ -135,6 +159,31 @@ ORACLES = {
         SELECT v AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(u) AS component_id
         FROM r LEFT JOIN n ON n.doc_id = v GROUP BY v
     """,
+    "op12_spelling": f"""
+        WITH RECURSIVE c AS MATERIALIZED (SELECT {_CRC}::BIGINT[] AS crc),
+        r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        o AS (SELECT id, run, count(*) AS k, flatten([CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END FOR x IN string_split(id || ':' || run, '')]) AS bytes FROM r WHERE length(run) >= 6 GROUP BY id, run),
+        h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, [b::BIGINT FOR b IN bytes]), lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT) AS h FROM o, c),
+        v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) t WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        d AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v) t),
+        near AS (
+            SELECT x.word, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+            UNION SELECT x.word, v.word, v.n FROM d x JOIN v ON v.word = x.a || x.b
+            UNION SELECT v.word, y.word, y.n FROM d y JOIN v ON v.word = y.a || y.b),
+        best AS (SELECT word, count(*) AS n_near, max(near_n) AS m FROM near GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN (SELECT min(near.near) FROM near WHERE near.word = v.word AND near.near_n = best.m) END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n
+              FROM v LEFT JOIN best ON best.word = v.word),
+        u AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT u.word, f.form, step + 1 FROM u JOIN f ON f.word = u.root WHERE f.form IS NOT NULL),
+        t AS (SELECT word, arg_max(root, step) AS root FROM u GROUP BY word)
+        SELECT f.word, t.root, n, n_near, form, form_n FROM f JOIN t ON t.word = f.word
+    """,
+    "op13_top_k": """
+        WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,

@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, on ordinary and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -444,3 +445,152 @@ def test_pipeline_stages_on_odd_tables(spark, docs, empty):
             out = stage(spark, table, "")
             assert name == "BPE encoding" or out.columns == table.columns
             assert (out.count() == 0) == (table is empty)
+
+
+def _aligned(texts):
+    """Plain merging of both walks, text by text, for test_alignment."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from kontora.llm import alignment
+
+    tok = Tokenizer.from_file(bpe.default_vocabulary())
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=alignment.default_pieces())
+    back = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    back |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(back.values()))}
+    out = []
+    for t in texts:
+        whole = (" " + (t or "")).encode()
+        a = tok.encode(" " + (t or ""), add_special_tokens=False).ids if t else []
+        b = sp.encode(t) if t else []
+        ta = [bytes(back[c] for c in tok.id_to_token(i)) for i in a]
+        tb = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode() for p in map(sp.id_to_piece, b)]
+        groups = []
+        if t and b"".join(ta) == whole == b"".join(tb):
+            ends = []
+            for toks in (ta, tb):
+                at, e = 0, []
+                for x in toks:
+                    at += len(x)
+                    e.append(at)
+                ends.append(e)
+            cuts = sorted(set(ends[0]) & set(ends[1]))
+            groups = [([], []) for _ in cuts]
+            for side, ids in ((0, a), (1, b)):
+                k = 0
+                for i, e in zip(ids, ends[side], strict=True):
+                    groups[k][side].append(i)
+                    k += e == cuts[k]
+        out.append(groups)
+    return out
+
+
+def test_alignment(spark):
+    from kontora.llm import alignment
+
+    rng = random.Random(8)
+    texts = [None, "", " ", "hello world", "hello  world ", "<|endoftext|> and <s> </s>", "▁odd", "日本語のテキスト " * 30, "naïve café 😀😀", "tab\tand\r\nnew\n\nline", "\x00x", "aaaa" * 700, "ab" * 3000]
+    texts += [" ".join(rng.choice(["über", "the", "x1", "foo-bar", "12345", "über\nwo", "'s"]) for _ in range(rng.choice([3, 40, 4000]))) for _ in range(14)]
+    rows = [(i % 20, t, 5) for i, t in enumerate(texts)] + [(None, "hello world", 5)]
+    got = alignment.align(spark.createDataFrame(rows, "doc_id long, text string, n_a long").repartition(3), groups=True).collect()
+    groups = _aligned([t for _, t, _ in rows])
+    pairs = [Counter((x, y) for a, b in g for x in a for y in b) for g in groups]
+    count = Counter(p for c in pairs for p in c)
+    top = defaultdict(int)
+    for (x, _), n in count.items():
+        top[x] = max(top[x], n)
+    want = []
+    for (i, _, _), g, c in zip(rows, groups, pairs, strict=True):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g)
+        best = sum(n for p, n in c.items() if count[p] == top[p[0]])
+        want.append((i, sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(c.values()), best, sum(n * count[p] for p, n in c.items()), sha(text) if g else "", text))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sum(not w[3] for w in want) < 9
+    assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert [r.n_a for r in alignment.align(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [0]
+
+
+def test_wide_groups_are_linked_whole():
+    import numpy as np
+
+    from kontora.llm import alignment
+
+    a, b = np.arange(300) % 7, np.arange(200) % 5
+    docs, pairs, links = alignment.linked(a, b, np.array([[0], [300], [0], [200]]), np.array([0]))
+    got = Counter()
+    for p, n in zip(pairs.tolist(), links.tolist(), strict=True):
+        got[p >> 32, p & 0xFFFFFFFF] += n
+    assert got == Counter((x, y) for x in a.tolist() for y in b.tolist()) and set(docs.tolist()) == {0}
+
+
+def _near(words):
+    out = set()
+    for w in words:
+        for k in range(len(w)):
+            out |= {(w, v) for v in words if v != w and (v == w[:k] + w[k + 1 :] or len(v) == len(w) and v[:k] == w[:k] and v[k + 1 :] == w[k + 1 :])}
+    return out | {(b, a) for a, b in out}
+
+
+def test_spelling(spark):
+    from kontora.llm import spelling
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdéß") for _ in range(rng.randrange(6, 9))) for _ in range(12)]
+    edits = [b[:k] + c + b[k + on :] for b in base for k in range(len(b)) for c in ("", "x", "É") for on in (0, 1)]
+    words = [rng.choice([w.upper(), w]) for w in [*base * 200, *rng.sample(edits, 60) * 6, "short", "Straße"]]
+    rng.shuffle(words)
+    rows = [(i, rng.choice([" ", "\n", "_", "9"]).join(words[i * 100 : i * 100 + 100]), "x") for i in range(40)] + [(None, "abcabc " * 9, "x"), (7, None, "x"), (8, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(3)
+    counts = Counter()
+    for i, t, _ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    n = {w: c for w, c in counts.items() if c >= 5 and len(w) >= 6}
+    near = defaultdict(set)
+    for a, b in _near(n):
+        near[a].add(b)
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 5 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    want = sorted((w, root(w), n[w], len(near[w]), form[w], n[form[w]] if form[w] else None) for w in n)
+    assert sum(1 for w in want if w[4]) > 10
+    for block in (spelling.BLOCK, 8):  # with eight words to an index, halves are spread over several
+        assert sorted(tuple(r) for r in spelling.variants(df, block=block).collect()) == want
+    assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("spread", [1, 1000, 90000])
+def test_top_k(spark, spread):
+    from kontora.llm import inner_products
+
+    rng = random.Random(spread)
+    vectors = [(i, [rng.gauss(0, 1) * spread * (1 + i % 5) for _ in range(6)]) for i in range(400)]
+    vectors += [(i, vectors[50][1]) for i in range(400, 600)]  # one vector a third of all
+    vectors += [(600, None), (650, [1.0, None, 1.0]), (700, [float("nan")] * 6), (750, [float("inf")] * 6), (800, []), (850, [2.0]), (None, [9.0] * 6), (50, vectors[50][1]), (3, vectors[4][1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, score int").repartition(5)
+    ints = [(r.vec_id, [math.floor(256 * x) for x in r.embedding] + [0] * (6 - len(r.embedding))) for r in df.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    want = []
+    for q, e in ints:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(e, f, strict=True)), i) for i, f in ints if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for size in (dict(), dict(block=16, head=32, growth=2)):
+        got = inner_products.top_k(df, df.filter("vec_id % 50 = 0"), **size)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_top_k_of_few(spark):
+    from kontora.llm import inner_products
+
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in inner_products.top_k(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 2, -65536)]
+    assert inner_products.top_k(few, few.limit(0)).count() == 0
+    assert inner_products.top_k(few.limit(0), few).count() == 0
