@@ -100,7 +100,7 @@ VIEWS: dict[str, str] = {
             ) p
         ) q""",
     "demand": """
-        SELECT p.case_id, p.product_id, 0 AS route, r.part_id, r.amount FROM case_products p JOIN recipes r ON r.product_id = p.product_id""",
+        SELECT case_id, case_products.product_id, 0 AS route, part_id, amount FROM case_products JOIN recipes ON recipes.product_id = case_products.product_id""",
     "taken": """
         SELECT case_id, product_id, 0 AS route, (ord * 7) % 50 AS portions FROM case_products""",
     "category_codes": """
