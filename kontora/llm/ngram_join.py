@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settings, stored
-from .words import WORD_BASE, Ranges, U, Words, mix, slices, words
+from .words import Runs, U, Words, mix, slices, words
 
 SKETCH_BITS = 22
 PARTS = 16
@@ -51,7 +51,7 @@ def shingle_sets(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, shingle fingerprint) pairs, by document. Texts of fewer than n words are one shingle."""
     if not len(w.start):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    h = Ranges(w.fingerprints(3, lower=True), WORD_BASE)
+    h = Runs(w.fingerprints(3, lower=True))
     counts = np.diff(w.first)
     at = np.arange(len(w.start))
     full = at + n <= w.first[w.doc + 1]

@@ -6,7 +6,7 @@ Names are fingerprints of what they stand for, so all tasks give the same names
 of the last round looks like is decided by the words of a short stretch around it, which each symbol carries along.
 Every window of twenty words picks, of the symbols decided inside it, the one with the least name: equal windows pick
 equal symbols. Windows whose symbol occurs once in the corpus are unique. For the rest, Spark finds the first document
-of each window by its full fingerprint (the symbol's name and an independent hash of all twenty words, 128 bits).
+of each window by its full fingerprint (the symbol's name and an independent hash of all twenty words).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WORD_BASE, Ranges, U, Words, mix, slices, words
+from .words import WORD_BASE, Runs, U, Words, mix, slices, words
 
 ROUNDS = 2
 #: Column of the texts in all batches.
@@ -80,7 +80,7 @@ class Windows:
             return
         h = w.fingerprints(1)
         low, high = recompress(h, w.doc)
-        ranges = Ranges(h, WORD_BASE)
+        ranges = Runs(h)
         name = ranges.of(np.clip(low, 0, n), np.clip(high, 0, n))
         begin = np.searchsorted(low, self.place, "left")
         stop = np.searchsorted(high, self.place + size, "right")
@@ -102,7 +102,7 @@ class Windows:
         self.new[1:] = (pick[1:] != pick[:-1]) | (self.doc[1:] != self.doc[:-1])
 
     def second(self, which: np.ndarray) -> np.ndarray:
-        return Ranges(self.words.fingerprints(2), WORD_BASE).of(self.place[which], self.place[which] + self.size)
+        return Runs(self.words.fingerprints(2)).of(self.place[which], self.place[which] + self.size)
 
 
 def _unique(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 # the symbol of a whole text, with a second fingerprint
                 counts = np.diff(w.first)
                 long = np.flatnonzero(counts >= size)
-                tops = [Ranges(w.fingerprints(s), WORD_BASE).of(w.first[long], w.first[long + 1]) for s in (1, 2)]
+                tops = [Runs(w.fingerprints(s)).of(w.first[long], w.first[long + 1]) for s in (1, 2)]
                 ids = b.column(0).take(pa.array(np.concatenate([doc, long])))
                 second = pa.array(np.concatenate([np.zeros(len(doc), U), tops[1] | U(1)]).view(np.int64))  # 0: not of a whole text
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([key, tops[0]]).view(np.int64)), second, pa.array(np.concatenate([n, np.ones(len(long), np.int64)]))], names=["id", "key", "top", "n"])

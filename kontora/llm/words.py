@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -11,9 +12,13 @@ import pyarrow as pa
 import pyarrow.compute
 
 SLICE_BYTES = 2_000_000
+#: Words of more bytes are hashed one by one.
+LONG = 256
 U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -42,7 +47,10 @@ def powers(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ranges:
-    """Fingerprints of any run of values of an array, by running sums of a polynomial."""
+    """Fingerprints of any run of values of an array, by running sums of a polynomial modulo 2^64.
+
+    Values built for it can collide under every base, so what it finds has to be compared.
+    """
 
     def __init__(self, values: np.ndarray, base: int):
         up, self.down = powers(base, len(values) + 1)
@@ -53,13 +61,47 @@ class Ranges:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * U(WORD_BASE))
 
 
+#: Two primes below 2^31, and a base for each, drawn once.
+PRIMES, BASES = (2147483647, 2147483629), (1270891123, 1804289383)
+
+
+@lru_cache(maxsize=8)
+def _prime_powers(prime: int, base: int, count: int) -> np.ndarray:
+    out = np.ones(count, U)
+    done = 1
+    while done < count:
+        step = min(done, count - done)
+        out[done : done + step] = out[:step] * U(pow(base, done, prime)) % U(prime)
+        done += step
+    return out
+
+
+def prime_powers(prime: int, base: int, count: int) -> np.ndarray:
+    """The powers of a base modulo a prime."""
+    size = 1 << max(12, (count - 1).bit_length())
+    return _prime_powers(prime, base, size) if size <= 1 << 22 else _prime_powers.__wrapped__(prime, base, size)
+
+
+class Runs:
+    """Fingerprints of any run of 64-bit values, by running sums of two polynomials, modulo a prime each (62 bits)."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums, self.down = [], []
+        for prime, base, part in zip(PRIMES, BASES, (values >> U(33), values & U(0x1FFFFFFFF)), strict=True):
+            total = np.zeros(len(values) + 1, U)
+            np.cumsum(part % U(prime) * prime_powers(prime, base, len(values) + 1)[: len(values)] % U(prime), out=total[1:])
+            self.sums.append(total)
+            self.down.append(prime_powers(prime, pow(base, -1, prime), len(values) + 1))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, two = ((s[end] - s[start]) % U(p) * d[start] % U(p) for s, d, p in zip(self.sums, self.down, PRIMES, strict=True))
+        return mix(((one << U(32)) | two) + mix((end - start).astype(U), 13))
+
+
 @lru_cache(maxsize=8)
-def byte_table(seed: int, lower: bool = False) -> np.ndarray:
-    """A 64-bit value for each byte (A-Z as a-z where lower)."""
-    t = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
-    if lower:
-        t[65:91] = t[97:123]
-    return t
+def byte_table(seed: int) -> np.ndarray:
+    """A 64-bit value for each byte."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
 
 
 @dataclass
@@ -72,10 +114,27 @@ class Words:
     doc: np.ndarray  # text of each word
 
     def fingerprints(self, seed: int, lower: bool = False) -> np.ndarray:
-        """One 64-bit value per word, equal for equal bytes (A-Z as a-z where lower)."""
-        if not len(self.start):
-            return np.zeros(0, U)
-        return Ranges(byte_table(seed, lower)[self.data], BYTE_BASE).of(self.start, self.end)
+        """One 64-bit value per word, equal for equal bytes (A-Z as a-z where lower).
+
+        A word's eights of bytes go through a mixing step one after the other; long words have a digest of the library's.
+        """
+        size = self.end - self.start
+        out = mix(size.astype(U), seed)
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = _LOWER[self.data] if lower else self.data
+        eights = np.ndarray(len(self.data) + 1, "<u8", data, strides=(1,))
+        left = np.flatnonzero(size <= LONG)
+        at = 0
+        while len(left):
+            rest = np.minimum(size[left] - at, 8).astype(U)
+            chunk = eights[self.start[left] + at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * rest))
+            out[left] = mix((out[left] ^ chunk) * U(WORD_BASE), seed + 61)
+            at += 8
+            left = left[size[left] > at]
+        for k in np.flatnonzero(size > LONG).tolist():
+            digest = hashlib.blake2b(data[self.start[k] : self.end[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+            out[k] = U(int.from_bytes(digest, "little"))
+        return out
 
     def raw(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
@@ -114,8 +173,3 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
             begin, total = k + 1, 0
     if begin < len(sizes):
         yield batch.slice(begin)
-
-
-def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A list array of 64-bit values, counts[k] of them in row k."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))

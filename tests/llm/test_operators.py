@@ -594,3 +594,25 @@ def test_top_k_of_few(spark):
     assert [tuple(r) for r in inner_products.top_k(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 2, -65536)]
     assert inner_products.top_k(few, few.limit(0)).count() == 0
     assert inner_products.top_k(few.limit(0), few).count() == 0
+
+
+def test_fingerprints_of_words_built_to_collide(spark):
+    """Words, and runs of words, whose polynomials modulo 2^64 are equal under every odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    lead = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{lead} {one}"), (2, f"{lead} {two}"), (3, one), (4, two), (5, " ".join(one)), (6, " ".join(two))], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [0, 0, 0, 0]
+    seen, want = set(), {}
+    for i, t in ((5, " ".join(one).split()), (6, " ".join(two).split())):
+        gone = set()
+        for k in range(len(t) - 19):
+            w = tuple(t[k : k + 20])
+            if w in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(w)
+        want[i] = len(gone)
+    assert {i: got[i] for i in (5, 6)} == want
+    links = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df.filter("doc_id < 5")).collect()}
+    assert links == {1: 1, 2: 1, 3: 3, 4: 4}  # fifteen of seventeen shingles are shared by the first two
