@@ -103,6 +103,11 @@ VIEWS: dict[str, str] = {
         SELECT case_id, case_products.product_id, 0 AS route, part_id, amount FROM case_products JOIN recipes ON recipes.product_id = case_products.product_id""",
     "taken": """
         SELECT case_id, product_id, 0 AS route, (ord * 7) % 50 AS portions FROM case_products""",
+    "printed": """
+        SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS INTEGER) AS ord, p_name AS name,
+               CAST(l_quantity AS BIGINT) + 1 AS quantity, l_partkey * 37 % 4990 + 10 AS price, (CAST(l_quantity AS BIGINT) + 1) * (l_partkey * 37 % 4990 + 10) AS net,
+               CASE l_partkey % 3 WHEN 0 THEN 'kg' WHEN 1 THEN 'Stk' ELSE 'Ltr' END AS unit, CAST(o_orderdate AS DATE) AS date
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
     "category_codes": """
         SELECT category_id, CASE name WHEN 'ECONOMY' THEN '56' WHEN 'SMALL' THEN '5610' ELSE '471' END AS code FROM categories WHERE name IN ('ECONOMY', 'SMALL', 'LARGE')""",
     "no_revenue": """
