@@ -20,8 +20,8 @@ def with_division(products: DataFrame, categories: DataFrame) -> DataFrame:
     return products.join(c, "category_id", "left").withColumn("goods", goods).select(*products.columns, "division", "goods")
 
 
-def route_lines(lines: DataFrame, mappings: DataFrame, products: DataFrame, categories: DataFrame, reached: DataFrame, no_revenue: DataFrame, deposit: str = DEPOSIT) -> DataFrame:
-    """lines with their bucket and, for purchases, the converted quantity.
+def route_lines(lines: DataFrame, mappings: DataFrame, products: DataFrame, categories: DataFrame, reached: DataFrame, no_revenue: DataFrame, deposit: str = DEPOSIT, matched: DataFrame | None = None) -> DataFrame:
+    """lines with their bucket and, for purchases, the converted quantity. matched: lines that are matched already.
 
     Buckets in order of precedence: unmapped, deposit, no_revenue, unused, missing_factor, purchase. Adds match_id,
     product_id, bucket, counted (unit), factor, per, factor_source and qty. Pack sizes are read once per name, units once
@@ -33,7 +33,7 @@ def route_lines(lines: DataFrame, mappings: DataFrame, products: DataFrame, cate
     printed = stored(lines.select(c("name").alias("_name"), c("unit_code").alias("_code")).distinct(), "names-and-codes")
     packs = stored(printed.select("_name").distinct().withColumn("pack", pack_size(c("_name"))).filter("pack is not null"), "packs")
     codes = stored(printed.select("_code").distinct().withColumn("billed", unit(c("_code"))).filter("billed is not null"), "codes")
-    matched = match_mapping(lines, mappings).join(p, "product_id", "left")
+    matched = (match_mapping(lines, mappings) if matched is None else matched).join(p, "product_id", "left")
     matched = matched.join(packs, c("name") == c("_name"), "left").join(codes, c("unit_code") == c("_code"), "left")
     matched = matched.join(reached.select("case_id", "product_id", F.lit(True).alias("is_reached")), ["case_id", "product_id"], "left")
     matched = matched.join(no_revenue.select("case_id", "product_id", F.lit(True).alias("is_free")).distinct(), ["case_id", "product_id"], "left")

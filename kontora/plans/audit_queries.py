@@ -164,6 +164,12 @@ QUERIES = {
 }
 
 _SEL = "case_id, invoice_id, ord"
+#: What a product is made of in the end, as a statement step.
+ORACLE_LEAVES = """leaf_paths AS (
+            SELECT p.product_id, p.product_id AS leaf, CAST(u.factor AS DOUBLE) AS q, CASE WHEN NOT u.container THEN u.base END AS unit FROM products p LEFT JOIN o_lookup u ON u.key = lower(p.unit)
+            UNION ALL SELECT r.product_id, e.part_id, r.q * e.amount * u.factor / (b.batch * bu.factor), u.base FROM leaf_paths r JOIN recipes e ON e.product_id = r.leaf JOIN products b ON b.product_id = r.leaf JOIN o_lookup u ON u.key = lower(e.unit) JOIN o_lookup bu ON bu.key = lower(b.unit)),
+    leafs AS (SELECT product_id, leaf AS part_id, CAST(greatest(floor(sum(q) + 0.5 + 1e-9), 1) AS BIGINT) AS amount, any_value(unit) AS unit FROM leaf_paths r WHERE NOT EXISTS (SELECT 1 FROM recipes e WHERE e.product_id = r.leaf) GROUP BY product_id, leaf)"""
+
 ORACLES = {k: steps(s) for k, s in {
     "purchases_by_product": "SELECT * FROM o_bought",
     "match_mapping": f"SELECT {_SEL}, match_id, product_id, match_factor FROM o_matched",
@@ -177,10 +183,7 @@ ORACLES = {k: steps(s) for k, s in {
     "reachable": "SELECT DISTINCT case_id, product_id FROM o_reach",
     "reach_pairs": "WITH RECURSIVE r AS (SELECT product_id AS src, part_id FROM recipes UNION SELECT r.src, e.part_id FROM r JOIN recipes e ON e.product_id = r.part_id) SELECT src, part_id FROM r",
     "recipe_cycles": "SELECT DISTINCT x AS product_id FROM (SELECT product_id AS x FROM recipes WHERE product_id LIKE 'sold.b.%' AND part_id LIKE 'sold.a.%' AND length(product_id) = 9 AND ord = 1 UNION ALL SELECT part_id FROM recipes WHERE product_id LIKE 'sold.b.%' AND part_id LIKE 'sold.a.%' AND length(product_id) = 9) t",
-    "recipe_leaves": """WITH RECURSIVE r AS (
-            SELECT p.product_id, p.product_id AS leaf, CAST(u.factor AS DOUBLE) AS q, CASE WHEN NOT u.container THEN u.base END AS unit FROM products p LEFT JOIN o_lookup u ON u.key = lower(p.unit)
-            UNION ALL SELECT r.product_id, e.part_id, r.q * e.amount * u.factor / (b.batch * bu.factor), u.base FROM r JOIN recipes e ON e.product_id = r.leaf JOIN products b ON b.product_id = r.leaf JOIN o_lookup u ON u.key = lower(e.unit) JOIN o_lookup bu ON bu.key = lower(b.unit))
-        SELECT product_id, leaf AS part_id, CAST(greatest(floor(sum(q) + 0.5 + 1e-9), 1) AS BIGINT) AS amount, any_value(unit) AS unit FROM r WHERE NOT EXISTS (SELECT 1 FROM recipes e WHERE e.product_id = r.leaf) GROUP BY product_id, leaf""",
+    "recipe_leaves": f"WITH RECURSIVE {ORACLE_LEAVES} SELECT * FROM leafs",
     "recipe_line_fits": "SELECT r.product_id, r.ord, r.part_id FROM recipes r JOIN o_product p ON p.product_id = r.part_id JOIN o_lookup u ON u.key = lower(r.unit) WHERE u.base = p.counted",
     "route_lines": f"""SELECT {_SEL}, bucket, CASE WHEN known THEN product_id END AS product_id, CASE WHEN bucket = 'purchase' THEN want END AS counted, CAST(CASE WHEN bucket = 'purchase' THEN fac END AS BIGINT) AS factor,
         CAST(CASE WHEN bucket = 'purchase' THEN per_ END AS BIGINT) AS per, CASE WHEN bucket = 'purchase' THEN source END AS factor_source, CASE WHEN bucket = 'purchase' THEN amount END AS qty FROM o_routed""",

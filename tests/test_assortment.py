@@ -45,3 +45,36 @@ def test_suggestions_take_from_what_is_left(spark):
             del weight[best]
             want.add((case, best, place))
     assert {(r.case_id, r.product_id, r.place) for r in got.collect()} == want
+
+
+def test_suggestions_of_a_bar(spark):
+    """Sold portions are pinned in a second calculation; wares are offered as bought only if nothing is made of them."""
+    from dataclasses import replace
+
+    from kontora.plans.calculate import suggest_assortment
+    from tests.test_calculation import PRODUCT, tables
+
+    cases, rules = tables(spark)
+    make, c = spark.createDataFrame, "case.bar.2024"
+    ware = lambda i, cat, unit="H87": (i, i, unit, 1, cat, None, None, None, None)
+    wares = [ware("soap", "cat.none"), ware("cigarettes", "cat.tobacco"), ware("tobacco", "cat.tobacco"), ware("cigar", None), ware("korn.1cl", None), ware("gone", None)]
+    line = lambda n, i: (c, "inv.bar.1", n, n, "Getränke", "1", None, i, i, None, 10000, "H87", 5_000_000, 1000, 50_000, 1900, "map." + i)
+    mapping = lambda i: ("map." + i, None, None, None, None, None, i, None, True, None, None)
+    new = [(n + 10, i) for n, i in enumerate(("soap", "cigarettes", "tobacco"))]
+    cases = replace(cases, lines=cases.lines.unionByName(make([line(n, i) for n, i in new], cases.lines.schema)))
+    rules = replace(
+        rules,
+        products=rules.products.unionByName(make(wares, PRODUCT)),
+        categories=rules.categories.unionByName(make([("cat.none", "none", "unbestimmt"), ("cat.tobacco", "tobacco", "handelsware")], rules.categories.schema)),
+        recipes=rules.recipes.unionByName(make([("cigar", 1, "tobacco", 1, "H87"), ("korn.1cl", 1, "prod.korn", 10, "MLT"), ("gone", 1, "nowhere", 5, "MLT")], rules.recipes.schema)),
+        mappings=rules.mappings.unionByName(make([mapping(i) for _, i in new], rules.mappings.schema)),
+    )
+    codes = make([("cat.fass", "56")], "category_id string, code string")
+    none = make([], "case_id string, product_id string")
+    got = [(r.product_id, r.place) for r in suggest_assortment(cases, rules, codes, none).orderBy("place").collect()]
+    # ten packets and ten cigars at 500 each; what korn is left after the portions sold makes no centilitre of worth
+    assert {p for p, _ in got} >= {"cigarettes", "cigar"} and not {p for p, _ in got} & {"soap", "tobacco", "gone"}
+    assert [k for _, k in got] == list(range(1, len(got) + 1))
+    assert got[0][0] in ("cigar", "cigarettes") and sorted(p for p, _ in got[:2]) == ["cigar", "cigarettes"]
+    fewer = suggest_assortment(cases, rules, codes, make([(c, "cigar")], "case_id string, product_id string"))
+    assert "cigar" not in {r.product_id for r in fewer.collect()}
