@@ -239,7 +239,7 @@ def _rounds(most: int = 5) -> str:
         nd AS MATERIALIZED (SELECT n.*, micro FROM need n JOIN whole_ w ON w.case_id = n.case_id AND w.product_id = n.product_id JOIN st ON st.case_id = n.case_id AND st.part_id = n.part_id),
         head AS (SELECT *, row_number() OVER (PARTITION BY case_id, product_id ORDER BY amount * micro DESC, part_id) AS rn, count(*) OVER (PARTITION BY case_id, product_id) AS n, sum(CAST(amount AS HUGEINT) * micro) OVER (PARTITION BY case_id, product_id) AS unit FROM nd),
         mains AS (SELECT *, min(amount) OVER (PARTITION BY case_id, part_id) AS least FROM head WHERE rn = 1),
-        pool AS MATERIALIZED (SELECT m.case_id, m.product_id, CAST(unit AS DOUBLE) AS unit,
+        pool AS MATERIALIZED (SELECT m.case_id, m.product_id, CAST(m.unit AS DOUBLE) AS unit,
             (1 + (n - 1) / 2.0::DOUBLE) * sqrt(CAST(least AS DOUBLE) / amount) * (10000 + CASE WHEN g.division = 'getraenke' THEN case_no * 1000 ELSE 5000 END) / 10000::DOUBLE AS weight
             FROM mains m JOIN cases USING (case_id) JOIN products p ON p.product_id = m.part_id LEFT JOIN categories g ON g.category_id = p.category_id),
         left0 AS (SELECT case_id, part_id, left_ FROM st)"""
@@ -294,105 +294,6 @@ ORACLES = {k: steps(s) for k, s in {
     "used_in": f"WITH RECURSIVE {_REACHED} SELECT c.case_id, x.part_id, string_agg(DISTINCT p.name, ', ' ORDER BY p.name) AS names FROM case_products c JOIN pair x ON x.src = c.product_id JOIN products p ON p.product_id = c.product_id GROUP BY 1, 2",
     "suggestion_candidates": f"WITH RECURSIVE {_OFFERED} SELECT case_id, product_id FROM offered",
     "suggest_assortment": f"WITH RECURSIVE {_OFFERED}, {_LEFT}, {ORACLE_LEAVES}, {_rounds()}",
-    "rules_date": lambda a: maintenance.rules_date(a.v.table("events").select(F.col("ts").alias("changed_at")), a.v.table("orders").select(F.col("o_orderdate").alias("changed_at"))),
-    "change_rules": _change,
-    "rescale_guard": _rescale,
-    "seed_rules": _seed,
-    "diff_case": _diff,
-    "amend": _amend,
-    "purge": _purge,
-    "stale_recipes": _stale,
-    "needs_mapping": lambda a: maintenance.needs_mapping(a.v.cases.select("case_id", F.when(F.col("case_no") % 3 > 0, "store").alias("mapped_store"), (F.col("case_no") % 2).alias("mapped_at")), "store", F.lit(1)),
-    "upsert_invoices": _upsert,
-    "unseat_default": _unseat,
-    "yield_options": lambda a: maintenance.yield_options(_touched(a), a.v.products, a.v.yield_rules, a.v.yield_choices),
-    "promote_mapping": _promote,
-    "drop_promoted_recipes": _drop_promoted,
-    "users_of": lambda a: maintenance.users_of(a.v.products, a.v.recipes, a.v.mappings, a.v.yield_rules),
-    "period_filter": lambda a: maintenance.period_filter(a.v.lines, a.v.cases.withColumn("period_to", F.lit("1997-12-31").cast("date"))).groupBy("case_id").agg(F.count("*").alias("n")),
-}.items()}
-
-_LEFT = """use_ AS (SELECT d.case_id, d.part_id, sum(amount * portions) AS used, min(amount) AS least FROM demand d JOIN taken t ON t.case_id = d.case_id AND t.product_id = d.product_id GROUP BY d.case_id, d.part_id),
-    have AS (SELECT y.case_id, y.product_id, bought, used, used_cost, CAST(CAST(used AS HUGEINT) * (10000 - coalesce(r.deduction, 0)) // 10000 AS BIGINT) AS sellable FROM o_yield y LEFT JOIN yield_rules r ON r.rule_id = y.rule_id),
-    rest AS (SELECT h.case_id, h.product_id, CAST(greatest(sellable - coalesce(u.used, 0), 0) AS BIGINT) AS qty, coalesce(greatest(sellable - coalesce(u.used, 0), 0) < least, false) AS binding
-        FROM have h LEFT JOIN use_ u ON u.case_id = h.case_id AND u.part_id = h.product_id)"""
-_USED = """uses AS (SELECT d.case_id, d.part_id, d.product_id, d.amount AS per_portion, CAST(sum(portions) AS BIGINT) AS portions, CAST(sum(portions) * d.amount AS BIGINT) AS qty
-        FROM demand d JOIN taken t ON t.case_id = d.case_id AND t.product_id = d.product_id WHERE portions <> 0 GROUP BY d.case_id, d.part_id, d.product_id, d.amount)"""
-_SOLD = """sold AS (SELECT c.case_id, c.product_id, c.gross_price, t.portions, coalesce(g.division, 'unbestimmt') AS division FROM case_products c JOIN taken t ON t.case_id = c.case_id AND t.product_id = c.product_id
-        JOIN products p ON p.product_id = c.product_id LEFT JOIN categories g ON g.category_id = p.category_id)"""
-_REACHED = "pair AS (SELECT product_id AS src, part_id FROM recipes UNION SELECT r.src, e.part_id FROM pair r JOIN recipes e ON e.product_id = r.part_id)"
-_FITS = """leaf AS (SELECT product_id AS src, product_id AS node FROM products UNION SELECT l.src, e.part_id FROM leaf l JOIN recipes e ON e.product_id = l.node),
-    parts AS (SELECT src, node FROM leaf WHERE NOT EXISTS (SELECT 1 FROM recipes e WHERE e.product_id = leaf.node)),
-    fits AS (SELECT c.case_id, p.product_id FROM cases c CROSS JOIN products p WHERE c.gewerbe = '' OR NOT EXISTS (
-        SELECT 1 FROM parts x JOIN products q ON q.product_id = x.node WHERE x.src = p.product_id AND EXISTS (SELECT 1 FROM category_codes k WHERE k.category_id = q.category_id)
-            AND NOT EXISTS (SELECT 1 FROM category_codes k WHERE k.category_id = q.category_id AND starts_with(c.gewerbe, k.code))))"""
-_SELLABLE = """sells AS (SELECT p.* FROM o_product p WHERE counted = 'piece' AND (EXISTS (SELECT 1 FROM recipes r WHERE r.product_id = p.product_id)
-        OR (NOT EXISTS (SELECT 1 FROM recipes r WHERE r.part_id = p.product_id) AND coalesce(category_id, '') <> '' AND goods)))"""
-
-def _rounds(most: int = 5) -> str:
-    """The rounds of suggestions as SQL: the best of each case takes its portions from what is left, then the next."""
-    out = """need AS (SELECT c.case_id, c.product_id, l.part_id, l.amount FROM offered c JOIN leafs l ON l.product_id = c.product_id WHERE l.amount > 0),
-        st AS MATERIALIZED (SELECT h.case_id, h.product_id AS part_id, r.qty AS left_, CASE WHEN used > 0 THEN CAST(CAST(used_cost AS HUGEINT) * 1000000 // used AS BIGINT) ELSE 0 END AS micro FROM have h JOIN rest r ON r.case_id = h.case_id AND r.product_id = h.product_id),
-        whole_ AS (SELECT n.case_id, n.product_id FROM need n LEFT JOIN st ON st.case_id = n.case_id AND st.part_id = n.part_id GROUP BY ALL HAVING bool_and(st.part_id IS NOT NULL)),
-        nd AS MATERIALIZED (SELECT n.*, micro FROM need n JOIN whole_ w ON w.case_id = n.case_id AND w.product_id = n.product_id JOIN st ON st.case_id = n.case_id AND st.part_id = n.part_id),
-        head AS (SELECT *, row_number() OVER (PARTITION BY case_id, product_id ORDER BY amount * micro DESC, part_id) AS rn, count(*) OVER (PARTITION BY case_id, product_id) AS n, sum(CAST(amount AS HUGEINT) * micro) OVER (PARTITION BY case_id, product_id) AS unit FROM nd),
-        mains AS (SELECT *, min(amount) OVER (PARTITION BY case_id, part_id) AS least FROM head WHERE rn = 1),
-        pool AS MATERIALIZED (SELECT m.case_id, m.product_id, CAST(unit AS DOUBLE) AS unit,
-            (1 + (n - 1) / 2.0::DOUBLE) * sqrt(CAST(least AS DOUBLE) / amount) * (10000 + CASE WHEN g.division = 'getraenke' THEN case_no * 1000 ELSE 5000 END) / 10000::DOUBLE AS weight
-            FROM mains m JOIN cases USING (case_id) JOIN products p ON p.product_id = m.part_id LEFT JOIN categories g ON g.category_id = p.category_id),
-        left0 AS (SELECT case_id, part_id, left_ FROM st)"""
-    for k in range(1, most + 1):
-        gone = "".join(f" AND NOT EXISTS (SELECT 1 FROM pick{j} x WHERE x.case_id = p.case_id AND x.product_id = p.product_id)" for j in range(1, k))
-        out += f""", fit{k} AS (SELECT d.case_id, d.product_id, min(left_ // amount) AS portions FROM nd d JOIN left{k - 1} l ON l.case_id = d.case_id AND l.part_id = d.part_id GROUP BY ALL),
-        pick{k} AS MATERIALIZED (SELECT case_id, product_id, portions FROM (SELECT p.case_id, p.product_id, portions, row_number() OVER (PARTITION BY p.case_id ORDER BY portions * unit / 1000000 * weight DESC, p.product_id) AS rn
-            FROM pool p JOIN fit{k} f ON f.case_id = p.case_id AND f.product_id = p.product_id WHERE portions > 0 AND portions * unit * weight > 0{gone}) t WHERE rn = 1),
-        left{k} AS MATERIALIZED (SELECT l.case_id, l.part_id, left_ - coalesce(amount * portions, 0) AS left_ FROM left{k - 1} l LEFT JOIN (SELECT d.case_id, d.part_id, amount, portions FROM nd d JOIN pick{k} b ON b.case_id = d.case_id AND b.product_id = d.product_id) t ON t.case_id = l.case_id AND t.part_id = l.part_id)"""
-    return out + " " + " UNION ALL ".join(f"SELECT case_id, product_id, CAST({k} AS BIGINT) AS place FROM pick{k}" for k in range(1, most + 1))
-
-
-_OFFERED = f"""{_FITS}, {_SELLABLE}, offered AS (SELECT c.case_id, s.product_id FROM cases c CROSS JOIN sells s JOIN fits f ON f.case_id = c.case_id AND f.product_id = s.product_id
-        WHERE (s.valid_from IS NULL OR period_to >= s.valid_from) AND (s.valid_to IS NULL OR period_to < s.valid_to) AND NOT EXISTS (SELECT 1 FROM case_products x WHERE x.case_id = c.case_id AND x.product_id = s.product_id)
-          AND NOT EXISTS (SELECT 1 FROM case_products x WHERE x.case_id = c.case_id AND x.ord % 2 = 0 AND replace(x.product_id, 'sold.a', 'sold.b') = s.product_id))"""
-ORACLES = {k: steps(s) for k, s in {
-    "used_by": f"WITH {_USED} SELECT *, row_number() OVER (PARTITION BY case_id, part_id ORDER BY qty DESC, product_id, per_portion) AS place FROM uses",
-    "supply_rows": f"""WITH {_LEFT}, {_USED}, n AS (SELECT case_id, part_id, count(*) AS n, CAST(sum(qty) AS BIGINT) AS q FROM uses GROUP BY ALL)
-        SELECT h.case_id, h.product_id, coalesce(p.name, '') AS name, p.unit, h.bought, h.used, h.sellable, coalesce(n.n, 0) AS n_uses, coalesce(n.q, 0) AS qty_used, r.qty AS leftover, r.binding
-        FROM have h LEFT JOIN products p ON p.product_id = h.product_id JOIN rest r ON r.case_id = h.case_id AND r.product_id = h.product_id LEFT JOIN n ON n.case_id = h.case_id AND n.part_id = h.product_id""",
-    "estimate_groups": """WITH e AS (SELECT case_id, CASE vat WHEN 0 THEN 'preis' WHEN 700 THEN 'rest' ELSE 'rezeptur' END AS source, line_net FROM lines WHERE case_id <> 'case.3' OR vat = 0)
-        SELECT c.case_id, s.source, count(e.source) AS n, CAST(coalesce(sum(line_net), 0) AS BIGINT) AS cost, CAST(coalesce(sum(line_net * 3), 0) AS BIGINT) AS revenue_net
-        FROM (SELECT DISTINCT case_id FROM e) c CROSS JOIN (SELECT unnest(['preis', 'rest', 'rezeptur']) AS source) s LEFT JOIN e ON e.case_id = c.case_id AND e.source = s.source GROUP BY c.case_id, s.source""",
-    "calculation_groups": f"""WITH {_SOLD} SELECT s.case_id, CASE WHEN gewerbe = '' OR gewerbe LIKE '56%' THEN division END AS division, count(*) AS n, string_agg(product_id, ',' ORDER BY product_id) AS products, CAST(sum(portions * 100) AS BIGINT) AS cost_of_goods
-        FROM sold s JOIN cases c ON c.case_id = s.case_id WHERE portions > 0 AND gross_price > 0 GROUP BY 1, 2""",
-    "binding_names": f"""WITH {_LEFT} SELECT d.case_id, d.product_id, string_agg(DISTINCT p.name, ', ' ORDER BY p.name) AS names FROM demand d JOIN rest r ON r.case_id = d.case_id AND r.product_id = d.part_id AND r.binding
-        JOIN products p ON p.product_id = d.part_id GROUP BY d.case_id, d.product_id""",
-    "find_names": "SELECT CAST(p_partkey AS STRING) AS product_id, p_name AS name, NOT starts_with(lower(p_name), 's') AS inside FROM part WHERE contains(lower(p_name), 's')",
-    "and_more": """SELECT invoice_id, array_to_string(n[1:3], ', ') || CASE WHEN len(n) > 3 THEN ' und ' || CAST(len(n) - 3 AS STRING) || ' weitere' ELSE '' END AS label
-        FROM (SELECT invoice_id, list_sort(list(DISTINCT name)) AS n FROM lines GROUP BY invoice_id) t""",
-    "warnings": f"""WITH {_SOLD} SELECT case_id, 'usage-negative' AS code, product_id AS key FROM o_used WHERE used < 0
-        UNION ALL SELECT case_id, 'yield-choice-unknown', rule_id FROM yield_choices WHERE rule_id IS NOT NULL AND rule_id NOT IN (SELECT rule_id FROM yield_rules)
-        UNION ALL SELECT case_id, 'missing_factor', invoice_id || ':' || CAST(no AS STRING) FROM o_routed WHERE bucket = 'missing_factor'
-        UNION ALL SELECT DISTINCT case_id, 'piece_weight', product_id FROM o_routed WHERE bucket = 'purchase' AND source = 'piece'
-        UNION ALL SELECT case_id, 'stock_unit', product_id FROM o_entries WHERE counted IS NOT NULL AND base IS DISTINCT FROM counted
-        UNION ALL SELECT case_id, 'price-missing', product_id FROM sold WHERE portions > 0 AND gross_price <= 0
-        UNION ALL SELECT case_id, 'sparte-missing', product_id FROM sold WHERE portions > 0 AND division = 'unbestimmt' AND gross_price <> 0""",
-    "report_data": """WITH i AS (SELECT case_id, count(*) AS n, count(DISTINCT supplier_name) AS s FROM invoices GROUP BY case_id),
-        l AS (SELECT case_id, count(*) FILTER (bucket = 'purchase') AS n, CAST(coalesce(sum(line_net) FILTER (bucket IN ('unmapped', 'no_revenue')), 0) AS BIGINT) AS out FROM o_routed GROUP BY case_id),
-        y AS (SELECT case_id, CAST(sum(cost) AS BIGINT) AS net, bool_or(rule_id IS NOT NULL) AS any_ FROM o_yield GROUP BY case_id)
-        SELECT c.case_id, c.label, CAST(date_diff('day', period_from, period_to) + 1 AS BIGINT) AS period_days, coalesce(i.n, 0) AS n_invoices, coalesce(i.s, 0) AS n_suppliers, coalesce(l.n, 0) AS n_included, coalesce(y.net, 0) AS included_net,
-               coalesce(y.any_, false) AS any_yields, coalesce(l.out, 0) AS excluded FROM cases c LEFT JOIN i ON i.case_id = c.case_id LEFT JOIN l ON l.case_id = c.case_id LEFT JOIN y ON y.case_id = c.case_id""",
-    "group_exclusions": """WITH g AS (SELECT case_id, 'a:' || seller_article_id AS identity, bucket AS reason, count(*) AS n, CAST(sum(line_net) AS BIGINT) AS net FROM o_routed WHERE bucket <> 'purchase' GROUP BY ALL)
-        SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY net DESC, identity, reason) AS place FROM g""",
-    "sellable_products": f"WITH {_SELLABLE} SELECT product_id FROM sells",
-    "fits_trade": f"WITH RECURSIVE {_FITS} SELECT * FROM fits",
-    "ware_filter": """SELECT c.case_id, p.product_id FROM cases c CROSS JOIN products p WHERE coalesce(p.category_id, '') <> '' AND (c.gewerbe = '' OR NOT EXISTS (SELECT 1 FROM category_codes k WHERE k.category_id = p.category_id)
-            OR EXISTS (SELECT 1 FROM category_codes k WHERE k.category_id = p.category_id AND starts_with(c.gewerbe, k.code)))
-        UNION ALL SELECT c.case_id, p.product_id FROM cases c CROSS JOIN products p WHERE coalesce(p.category_id, '') = '' AND EXISTS (SELECT 1 FROM mappings m WHERE m.product_id = p.product_id AND m.confirmed)""",
-    "loop_free_parts": f"""WITH RECURSIVE {_REACHED} SELECT m.product_id, p.product_id AS part_id FROM (SELECT DISTINCT product_id FROM recipes) m CROSS JOIN products p
-        WHERE m.product_id <> p.product_id AND NOT EXISTS (SELECT 1 FROM pair x WHERE x.src = p.product_id AND x.part_id = m.product_id)""",
-    "used_in": f"WITH RECURSIVE {_REACHED} SELECT c.case_id, x.part_id, string_agg(DISTINCT p.name, ', ' ORDER BY p.name) AS names FROM case_products c JOIN pair x ON x.src = c.product_id JOIN products p ON p.product_id = c.product_id GROUP BY 1, 2",
-    "suggestion_candidates": f"""WITH RECURSIVE {_FITS}, {_SELLABLE} SELECT c.case_id, s.product_id FROM cases c CROSS JOIN sells s JOIN fits f ON f.case_id = c.case_id AND f.product_id = s.product_id
-        WHERE (s.valid_from IS NULL OR period_to >= s.valid_from) AND (s.valid_to IS NULL OR period_to < s.valid_to) AND NOT EXISTS (SELECT 1 FROM case_products x WHERE x.case_id = c.case_id AND x.product_id = s.product_id)
-          AND NOT EXISTS (SELECT 1 FROM case_products x WHERE x.case_id = c.case_id AND x.ord % 2 = 0 AND replace(x.product_id, 'sold.a', 'sold.b') = s.product_id)""",
     "rules_date": "SELECT greatest((SELECT max(ts) FROM events), (SELECT max(o_orderdate) FROM orders)) AS changed_at",
     "change_rules": """WITH last AS (SELECT max(event_id) + 1 AS v FROM events), now AS (SELECT user_id, arg_max(event_id, event_id) AS rev, arg_max(props, event_id) AS content, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id)
         SELECT 'product' AS kind, CAST(user_id + 1000000 AS STRING) AS id, v AS rev, CAST(event_id AS STRING) AS content, CAST(NULL AS BIGINT) AS deleted_at FROM events CROSS JOIN last WHERE event_type = 'purchase'
