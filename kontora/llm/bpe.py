@@ -278,7 +278,9 @@ class Codec:
         """The ids of the text of left followed by the text of right.
 
         A window holds when its tokens run in step with both sides, and is taken when one of twice its size gives the
-        same ids, or when it is the whole text.
+        same ids, or when it is the whole text. Inside one word of the splitting rule this is exact: tokens are a text's
+        encoding if every two neighbours are that of theirs, and each two neighbours of the result stand next to each
+        other in an encoding of the left, the right or the window.
         """
         before = None
         if not len(left) or not len(right):
@@ -357,10 +359,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     size = F.length("t")
     halvings = F.ceil(F.log2(size / F.lit(piece))).cast("int")
-    count = F.pow(F.lit(2.0), halvings).cast("long")
-    cut = lambda i: F.floor(i.cast("long") * size / count).cast("int")
-    long = rows.filter(size > piece).withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "id", F.posexplode(F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.substring(F.col("t"), cut(i) + 1, cut(i + 1) - cut(i)))).alias("no", "t")
-    )
+    # every round halves all pieces, so that a text is walked once a round
+    half = lambda t: F.floor(F.length(t) / 2).cast("int")
+    halves = lambda t: F.array(F.substring(t, F.lit(1), half(t)), F.substring(t, half(t) + 1, F.length(t)))
+    cut = F.aggregate(F.sequence(F.lit(1), halvings), F.array("t"), lambda pieces, _: F.flatten(F.transform(pieces, halves)))
+    long = rows.filter(size > piece).withColumn("row", F.monotonically_increasing_id()).select("row", "id", F.posexplode(cut).alias("no", "t"))
     spread = long.repartition("row", "no").mapInArrow(pieces, f"row long, id {kind}, no int, ids binary")
     return rows.filter(size <= piece).mapInArrow(short, schema).unionByName(spread.groupBy("row").applyInArrow(whole, schema))
