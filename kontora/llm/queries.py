@@ -100,7 +100,44 @@ def _canonical(x: str) -> str:
     return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
 
 
-_LICENSES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.KNOWN)
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _licence_bodies(name: str, source: str) -> str:
+    """Steps from the table `source` (…, text) to `name` (…, body): texts without titles, rights lines, list marks and holders."""
+    plain = "lower(text)"
+    for pattern in (licenses.COPYRIGHT, licenses.RIGHTS, licenses.MARKS):
+        plain = f"regexp_replace({plain}, {_quoted(pattern)}, '', 'g')"
+    title = r"'^[^\n]{0,60}\blicen[sc]e\b[^\n]{0,40}\n'"
+    body = "CASE WHEN length(c2) >= 100 THEN c2 ELSE c1 END"
+    for pattern, to in licenses.HOLDERS:
+        body = f"regexp_replace({body}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
+    return f"""{name}_1 AS (SELECT *, {plain} AS t1 FROM {source}),
+        {name}_2 AS (SELECT *, regexp_replace(t1, '^[^\\p{{L}}]*', '') AS rest FROM {name}_1),
+        {name}_3 AS (SELECT *, CASE WHEN regexp_matches(rest, {title}) AND NOT regexp_matches(regexp_extract(rest, '^[^\\n]*'), '\\bunder\\b') THEN regexp_replace(rest, {title}, '') ELSE t1 END AS t2 FROM {name}_2),
+        {name}_4 AS (SELECT *, {_canonical("t1")} AS c1, {_canonical("t2")} AS c2 FROM {name}_3),
+        {name} AS (SELECT * EXCLUDE (t1, t2, rest, c1, c2), {body} AS body FROM {name}_4)"""
+
+
+def _licences() -> str:
+    """The scan of licences as SQL: whole texts by their bodies, single lines by the listed notices, standard headers."""
+    texts = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in licenses._all_known(licenses.KNOWN + licenses.TEXTS))
+    headers = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in licenses.HEADERS)
+    return f"""
+        WITH known(id, text) AS (VALUES {texts}), {_licence_bodies("kb", "known")},
+        whole AS (SELECT body, min(id) AS license_id FROM kb GROUP BY body),
+        single AS (SELECT {_canonical("text")} AS c, min(id) AS id FROM known GROUP BY 1),
+        heads AS (SELECT id, ' ' || {_canonical("text")} || ' ' AS h FROM (VALUES {headers}) t(id, text)),
+        docs AS (SELECT doc_id, coalesce(text, '') AS text, {_canonical("coalesce(text, '')")} AS c FROM documents), {_licence_bodies("db", "docs")},
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+        found AS (SELECT doc_id, s.id FROM l JOIN single s ON s.c = {_canonical("line")} WHERE regexp_matches(line, '(?i)licen[sc]')
+            UNION SELECT doc_id, h.id FROM docs JOIN heads h ON contains(' ' || c || ' ', h) WHERE regexp_matches(c, 'licen[sc]e')),
+        n AS (SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM found GROUP BY doc_id)
+        SELECT d.doc_id, w.license_id, coalesce(n.notices, '') AS notices, CASE WHEN c <> '' THEN sha256(c) END AS text_digest
+        FROM db d LEFT JOIN whole w ON c <> '' AND w.body = d.body LEFT JOIN n ON n.doc_id = d.doc_id
+    """
+
 
 #: The table of the usual checksum of 32 bits, from its polynomial.
 _CRC = []
@@ -127,14 +164,7 @@ ORACLES = {
                NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1 AND (n_words < 50 OR stop / n_words >= 0.02) AND n_dup_lines / greatest(lines, 1) <= 0.5 AS kept
         FROM v
     """,
-    "op6_licenses": f"""
-        WITH k AS (SELECT sha256({_canonical("text")}) AS digest, min(id) AS license_id FROM (VALUES {_LICENSES}) t(id, text) GROUP BY 1),
-        d AS (SELECT doc_id, coalesce(text, '') AS t, {_canonical("coalesce(text, '')")} AS c FROM documents),
-        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-        n AS (SELECT doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices FROM l JOIN k ON k.digest = sha256({_canonical("line")}) WHERE regexp_matches(line, '(?i)licen[sc]') GROUP BY doc_id)
-        SELECT d.doc_id, k.license_id, coalesce(n.notices, '') AS notices, CASE WHEN c <> '' THEN sha256(c) END AS text_digest
-        FROM d LEFT JOIN k ON c <> '' AND k.digest = sha256(c) LEFT JOIN n ON n.doc_id = d.doc_id
-    """,
+    "op6_licenses": _licences(),
     "op3_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
         h AS (SELECT doc_id, [md5(array_to_string(ws[i:i + 19], ' ')) FOR i IN generate_series(1, len(ws) - 19)] AS gs FROM w WHERE len(ws) >= 20),

@@ -616,3 +616,20 @@ def test_fingerprints_of_words_built_to_collide(spark):
     assert {i: got[i] for i in (5, 6)} == want
     links = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df.filter("doc_id < 5")).collect()}
     assert links == {1: 1, 2: 1, 3: 3, 4: 4}  # fifteen of seventeen shingles are shared by the first two
+
+
+def test_licences_against_their_sql(spark, tmp_path):
+    """Whole files with titles, holders and list marks, standard headers and notices, and texts that only talk of licences."""
+    duckdb = pytest.importorskip("duckdb")
+    known = licenses.KNOWN + licenses.TEXTS
+    texts = [t for _, t in known] + ["MIT License\n\nCopyright (c) 2020 A. Body\n\n" + t for k, t in known if k == "MIT"] + [f"/*\n * {h}\n */\ncode" for _, h in licenses.HEADERS]
+    texts += [t.replace("\n\n", "\n  * ").upper() + "\nAll rights reserved." for _, t in known] + ["We talk about the license.", "Licensed under the MIT license\nand more words", None, "", "...", "a licence\n" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(queries.ORACLES["op6_licenses"])
+    columns = [d[0] for d in want.description]
+    got = licenses.scan(df).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+    assert sum(r.license_id is not None for r in got) > len(known)
