@@ -29,3 +29,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What lies below a path, or no rows of the schema where nothing was written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
