@@ -210,11 +210,44 @@ def validate_corpus(invoices: DataFrame, lines: DataFrame, words: DataFrame, cha
     return out
 
 
-def augment_words(words: DataFrame, keys: list[str], seed: int = 0, drop: float = 0.015, jitter: float = 0.01) -> DataFrame:
-    """words without a share of them and with boxes a pixel off for another share, the same for the same seed."""
-    draw = lambda salt: F.pmod(F.xxhash64(*keys, "ord", F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000
-    kept = words.filter(draw(1) >= drop)
-    step = F.when(draw(2) < jitter, F.when(draw(3) < 0.5, -1).otherwise(1)).otherwise(0)
-    return kept.withColumn("x", F.col("x") + step)
+#: Characters that a reader confuses.
+CONFUSABLE = {"0": "O", "O": "0", "1": "l", "l": "1", "I": "1", ",": ".", ".": ",", "5": "S", "S": "5", "8": "B", "B": "8"}
+
 
+def augment_words(words: DataFrame, keys: list[str], seed: int = 0, drop: float = 0.015, jitter: float = 0.01, confuse: float = 0.02, cut: float = 0.005) -> DataFrame:
+    """words (keys…, row, ord, text, x, y, w, h) as a worse scan would have them, the same for the same seed.
 
+    A share is lost; boxes move by at most `jitter` of the page's height; in a share one character is confused; a share of
+    words of four and more characters falls into two, and a share of neighbours in a row runs together. What each word
+    suffers depends on its keys and place alone. part is 0, or 1 for the second half of a word that fell apart.
+    """
+    c = F.col
+    draw = lambda salt: F.pmod(F.xxhash64(*keys, "ord", F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000
+    page = Window.partitionBy(*keys)
+    reach = F.max(c("y") + c("h")).over(page) * jitter
+    moved = lambda at, salt: c(at) + (draw(salt) * 2 - 1) * c("_reach")
+    table = F.create_map(*[F.lit(x) for kv in CONFUSABLE.items() for x in kv])
+    place = F.floor(draw(4) * F.length("text")).cast("int")
+    other = F.coalesce(F.try_element_at(table, F.substring("text", c("_at") + 1, F.lit(1))), F.substring("text", c("_at") + 1, F.lit(1)))
+    wrong = F.concat(F.substring("text", F.lit(1), c("_at")), other, F.substring("text", c("_at") + 2, F.length("text")))
+    kept = words.withColumn("_reach", reach).filter(draw(1) >= drop).withColumns({"x": moved("x", 2), "y": moved("y", 3), "_at": place})
+    kept = kept.withColumn("text", F.when((F.length("text") > 1) & (draw(5) < confuse), wrong).otherwise(c("text"))).drop("_reach", "_at")
+    kept = kept.withColumn("_cut", (F.length("text") > 3) & (draw(6) < cut))
+    order = Window.partitionBy(*keys, "row").orderBy("ord")
+    # a word takes the next one in if neither falls apart, and that one is not taken in by it or takes another
+    kept = kept.withColumn("_glue", ~c("_cut") & (draw(7) < cut) & ~F.lead("_cut", 1, True).over(order))
+    run = F.sum(F.when(F.coalesce(F.lag("_glue").over(order), F.lit(False)), 0).otherwise(1)).over(order)
+    kept = kept.withColumn("_run", run)
+    word = F.struct("ord", "text", *[c(b).cast("double").alias(b) for b in ("x", "y", "w", "h")])
+    place_in = F.row_number().over(Window.partitionBy(*keys, "row", "_run").orderBy("ord")) - 1
+    kept = kept.withColumn("_pair", F.floor(place_in / 2))  # three in a row: two run together, the third stays
+    glued = kept.groupBy(*keys, "row", "_run", "_pair").agg(F.array_sort(F.collect_list(word)).alias("ws"), F.bool_or("_cut").alias("_cut"))
+    first = lambda f: F.get(c("ws"), F.lit(0))[f]
+    over = lambda f: F.transform("ws", f)
+    left, top = F.array_min(over(lambda w: w.x)), F.array_min(over(lambda w: w.y))
+    one = glued.select(*keys, "row", first("ord").alias("ord"), F.array_join(over(lambda w: w.text), "").alias("text"), left.alias("x"), top.alias("y"), (F.array_max(over(lambda w: w.x + w.w)) - left).alias("w"), F.array_max(over(lambda w: w.h)).alias("h"), "_cut")
+    at = (1 + F.floor(draw(8) * (F.length("text") - 1))).cast("int")
+    one = one.withColumn("_k", at).withColumn("_w", c("w") * c("_k") / F.length("text"))
+    half = lambda part, text, x, w: F.struct(F.lit(part).alias("part"), text.alias("text"), x.alias("x"), w.alias("w"))
+    parts = F.when(c("_cut"), F.array(half(0, F.substring("text", F.lit(1), c("_k")), c("x"), c("_w")), half(1, F.substring("text", c("_k") + 1, F.length("text")), c("x") + c("_w"), c("w") - c("_w")))).otherwise(F.array(half(0, c("text"), c("x"), c("w"))))
+    return one.withColumn("p", F.explode(parts)).select(*keys, "row", "ord", "p.part", "p.text", "p.x", "y", "p.w", "h")

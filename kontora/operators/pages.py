@@ -206,3 +206,15 @@ def vote_row_item(words: DataFrame, keys: list[str]) -> DataFrame:
     """(keys…, row, item): the item that most words of a row name, the least of equal ones; null items do not vote."""
     votes = words.filter("item is not null").groupBy(*keys, "row", "item").agg(F.count("*").alias("n"))
     return votes.groupBy(*keys, "row").agg(F.max_by("item", F.struct("n", (-F.col("item")).alias("t"))).alias("item"))
+
+
+def mean_labels(logits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, label, mean): the place of the largest mean over windows, the first of equal ones. logits: (keys…, window, values).
+
+    As roles of rows come from all windows that a row lies in, and labels of words from theirs. Windows without values
+    do not count; a row without any has no label.
+    """
+    each = logits.select(*keys, F.posexplode("values").alias("label", "value"))
+    means = each.groupBy(*keys, "label").agg(F.avg(F.col("value").cast("double")).alias("mean"))
+    best = F.max(F.struct("mean", (-F.col("label")).alias("label")))
+    return means.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.label")).alias("label"), F.col("b.mean").alias("mean"))

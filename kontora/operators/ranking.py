@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,13 +27,36 @@ def _blocks(df: DataFrame, fields: list[str], rows: int, what: str) -> DataFrame
     return df.withColumn("_b", F.pmod(F.xxhash64(*fields[:1], F.monotonically_increasing_id()), F.lit(n))).groupBy("_b").agg(F.collect_list(F.struct(*fields)).alias(what)).drop("_b")
 
 
-def rank_wares(queries: DataFrame, wordings: DataFrame, n: int = 5, penalty: float = 0.1, block: int = 2048) -> DataFrame:
+#: Takes queries, wordings and how many are wanted; gives (query_id, ware_id, score), the best of each query among them.
+Ranker = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def rank_wares(queries: DataFrame, wordings: DataFrame, n: int = 5, penalty: float = 0.1, block: int = 2048, ranker: Ranker | None = None) -> DataFrame:
     """(query_id, ware_id, score, rank): the n best wares of each query by their best wording, ties by ware.
 
     queries: (query_id, query_vec, date, held). wordings: (ware_id, vec, valid_from, valid_to, packages), the catalogue.
+    Scores come from the ranker, by_vectors(penalty, block) where none is given; one whose result has other columns or
+    types is an error.
+    """
+    near = (ranker or by_vectors(penalty, block))(queries, wordings, n)
+    want = {"query_id": queries.schema["query_id"].dataType, "ware_id": wordings.schema["ware_id"].dataType, "score": T.DoubleType()}
+    if {f.name: f.dataType for f in near.schema} != want:
+        raise ValueError(f"a ranker gives {', '.join(want)} of the types of the queries, the wordings and double, not {near.schema.simpleString()}")
+    best = near.groupBy("query_id", "ware_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ware_id")
+    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
+
+
+def by_vectors(penalty: float = 0.1, block: int = 2048) -> Ranker:
+    """Ranker by the inner products of vectors.
+
     A wording counts only on dates it is valid on; packages that contradict what the line holds cost `penalty`. Blocks
     of queries meet blocks of the catalogue, each pair of them one product of matrices that keeps its n best per query.
     """
+    return lambda queries, wordings, n: _by_blocks(queries, wordings, n, penalty, block)
+
+
+def _by_blocks(queries: DataFrame, wordings: DataFrame, n: int, penalty: float, block: int) -> DataFrame:
     kind = {k: df.schema[k].dataType.simpleString() for df, k in ((queries, "query_id"), (wordings, "ware_id"))}
     q = _blocks(queries, ["query_id", "query_vec", "date", "held"], block, "queries")
     w = _blocks(wordings, ["ware_id", "vec", "valid_from", "valid_to", "packages"], block, "wordings")
@@ -44,10 +68,7 @@ def rank_wares(queries: DataFrame, wordings: DataFrame, n: int = 5, penalty: flo
 
     # blocks of the stated query set against blocks of the catalogue
     pairs = q.crossJoin(w).repartition(F.xxhash64("queries", "wordings"))
-    near = pairs.mapInArrow(rank, f"query_id {kind['query_id']}, ware_id {kind['ware_id']}, score double")
-    best = near.groupBy("query_id", "ware_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ware_id")
-    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
+    return pairs.mapInArrow(rank, f"query_id {kind['query_id']}, ware_id {kind['ware_id']}, score double")
 
 
 def _best_of_blocks(queries: pa.StructArray, wordings: pa.StructArray, n: int, penalty: float) -> pa.RecordBatch:
@@ -112,6 +133,22 @@ def coverage_curve(scored: DataFrame) -> DataFrame:
     return met.groupBy("share").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("precision"))
 
 
+def automatic_share(scored: DataFrame, least: int = 80) -> DataFrame:
+    """(n, automatic, share, precision): what is taken without asking, from a confidence on, and how much of it is right.
+
+    scored: (confidence, hit). Share and precision are null where nothing is scored or taken.
+    """
+    taken = F.count_if(F.col("confidence") >= least)
+    right = F.count_if((F.col("confidence") >= least) & F.col("hit"))
+    rate = lambda a, b: F.when(b > 0, a / b)
+    return scored.agg(F.count("*").alias("n"), taken.alias("automatic"), rate(taken, F.count("*")).alias("share"), rate(right, taken).alias("precision"))
+
+
+def macro_f1(per_class: DataFrame) -> DataFrame:
+    """(classes, macro_f1): the plain mean of F1 over the classes of class_f1."""
+    return per_class.agg(F.count("*").alias("classes"), F.avg("f1").alias("macro_f1"))
+
+
 def class_f1(rows: DataFrame) -> DataFrame:
     """(class, hit, predicted, support, precision, recall, f1) per class. rows: (pred, truth)."""
     parts = rows.select(F.explode(F.array(F.struct(F.col("truth").alias("class"), F.lit(0).alias("p"), F.lit(1).alias("t"), (F.col("truth") == F.col("pred")).cast("int").alias("h")), F.struct(F.col("pred").alias("class"), F.lit(1).alias("p"), F.lit(0).alias("t"), F.lit(0).alias("h")))).alias("x"))

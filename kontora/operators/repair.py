@@ -209,3 +209,39 @@ def cluster_1d(points: DataFrame, keys: list[str], gap: float = 2.0) -> DataFram
     order = Window.partitionBy(*keys).orderBy("at")
     new = F.when(F.col("at") - F.lag("at").over(order) > gap, 1).otherwise(0)
     return points.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order)).drop("_new")
+
+
+#: The least width of a gutter between two printed pages, and how far from the middle it may lie, in sheet widths.
+GUTTER, OFF_MIDDLE = 8.0, 0.125
+
+
+def gutters(spans: DataFrame, sheets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, middle): where a landscape sheet with two printed pages is divided. spans: (keys…, x0, x1); sheets: (keys…, width, height).
+
+    The widest gap that no span reaches into, the first of equal ones, if it is wide enough and near the middle.
+    """
+    c = F.col
+    before = Window.partitionBy(*keys).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max("x1").over(before), F.lit(0.0))
+    gaps = spans.withColumn("_reach", reach).filter("_reach > 0").select(*keys, (c("x0") - c("_reach")).alias("gap"), ((c("x0") + c("_reach")) / 2).alias("at"))
+    best = gaps.filter("gap > 0").groupBy(*keys).agg(F.max(F.struct("gap", (-c("at")).alias("at"))).alias("b")).select(*keys, "b.gap", (-c("b.at")).alias("middle"))
+    met = best.join(sheets.select(*keys, "width", "height"), keys)
+    near = F.abs(c("middle") - c("width") / 2) < c("width") * OFF_MIDDLE
+    return met.filter((c("width") > c("height")) & (c("gap") >= GUTTER) & near).select(*keys, "middle")
+
+
+def split_halves(words: DataFrame, spans: DataFrame, sheets: DataFrame, keys: list[str]) -> DataFrame:
+    """words (keys…, x0, x1) with half: 0 left of the sheet's gutter by their middle, else 1; 0 on sheets that are one page."""
+    middle = (F.col("x0") + F.col("x1")) / 2
+    met = words.join(gutters(spans, sheets, keys), keys, "left")
+    return met.withColumn("half", F.when(F.col("middle").isNotNull() & (middle >= F.col("middle")), 1).otherwise(0)).drop("middle")
+
+
+def slot(points: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """points (keys…, pos) with slot: the first interval between neighbouring bounds (keys…, bound) that holds it, else -1."""
+    c = F.col
+    order = Window.partitionBy(*keys).orderBy("bound")
+    spans = bounds.withColumns({"_to": F.lead("bound").over(order), "_n": F.row_number().over(order) - 1}).filter("_to IS NOT NULL AND _to > bound")
+    lists = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", c("bound").alias("_from"), "_to"))).alias("_slots"))
+    inside = F.filter("_slots", lambda s: (s["_from"] <= c("pos")) & (c("pos") < s["_to"]))
+    return points.join(lists, keys, "left").withColumn("slot", F.coalesce(F.get(inside, F.lit(0))["_n"], F.lit(-1))).drop("_slots")

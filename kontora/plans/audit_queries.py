@@ -119,10 +119,11 @@ class Audit:
     def matched(self) -> DataFrame:
         return matching.match_mapping(self.v.lines, self.v.mappings)
 
-    def routed(self, reached: DataFrame | None = None) -> DataFrame:
-        """Routed lines; written once, as everything after them reads them several times."""
+    def routed(self, reached: DataFrame | None = None, once: bool = False) -> DataFrame:
+        """Routed lines; written where what follows reads them more than once."""
         v = self.v
-        return stored(stock.route_lines(v.lines, v.mappings, v.products, v.categories, reached or self.reached(), v.no_revenue), "routed")
+        out = stock.route_lines(v.lines, v.mappings, v.products, v.categories, reached or self.reached(), v.no_revenue)
+        return out if once else stored(out, "routed")
 
     def balance(self) -> DataFrame:
         v, reached = self.v, stored(self.reached(), "reached")
@@ -139,7 +140,7 @@ def _q(f):
 
 KEY = ["case_id", "invoice_id", "ord"]
 QUERIES = {
-    "purchases_by_product": _q(lambda a: stock.stock_purchases(a.routed())),
+    "purchases_by_product": _q(lambda a: stock.stock_purchases(a.routed(once=True))),
     "match_mapping": _q(lambda a: a.matched().select(*KEY, "match_id", "product_id", "match_factor")),
     "mapping_still_fits": _q(lambda a: matching.mapping_still_fits(a.v.lines, a.v.mappings).filter("mapping_id is not null").select(*KEY, "mapping_id")),
     "overlay_mappings": _q(lambda a: matching.overlay_mappings(a.v.mappings.filter("confirmed"), a.v.mappings.filter("not confirmed or factor > 4000"), a.v.products).select("mapping_id", "product_id", "confirmed")),
@@ -151,9 +152,9 @@ QUERIES = {
     "recipe_cycles": _q(lambda a: recipes.cycles(a.v.recipes.unionByName(a.v.recipes.filter("product_id like 'sold.b.%' and part_id like 'sold.a.%'").selectExpr("part_id as product_id", "ord", "product_id as part_id", "amount", "unit").filter("length(part_id) = 9")))),
     "recipe_leaves": _q(lambda a: recipes.leaves(a.v.products, a.v.recipes)),
     "recipe_line_fits": _q(lambda a: recipes.line_fits(a.v.recipes, a.v.products).select("product_id", "ord", "part_id")),
-    "route_lines": _q(lambda a: a.routed().select(*KEY, "bucket", "product_id", "counted", "factor", "per", "factor_source", "qty")),
-    "route_summary": _q(lambda a: a.routed().groupBy("case_id", "bucket").agg(F.count("*").alias("n"), F.sum("line_net").alias("net"))),
-    "case_totals": _q(lambda a: stock.case_totals(a.routed())),
+    "route_lines": _q(lambda a: a.routed(once=True).select(*KEY, "bucket", "product_id", "counted", "factor", "per", "factor_source", "qty")),
+    "route_summary": _q(lambda a: a.routed(once=True).groupBy("case_id", "bucket").agg(F.count("*").alias("n"), F.sum("line_net").alias("net"))),
+    "case_totals": _q(lambda a: stock.case_totals(a.routed(once=True))),
     "line_totals": _q(lambda a: stock.line_totals(a.v.lines)),
     "supplier_sums": _q(lambda a: stock.supplier_sums(a.v.invoices)),
     "stock_balance": _q(lambda a: a.balance()),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, reading
+from ..functions.units import strip_pack
 from ..operators import evaluation, pages, repair
 from .audit_queries import Audit, _q, steps
 
@@ -71,13 +72,13 @@ def _restore(a: Audit) -> DataFrame:
 
 
 def _repair(a: Audit) -> DataFrame:
-    """A stray digit after the net; it goes again, as nothing else makes the row add up."""
+    """A stray digit after the net; it goes again from every line, as nothing else makes the row add up."""
     c = F.col
     text = lambda n, d: formats.fixed(n, d)
     d = _damaged(a).filter("k > 1")
     bad = d.withColumn("true_net", c("line_net")).withColumn("line_net", c("line_net") * 10 + 7)
     bad = bad.withColumns({"quantity_text": text(c("quantity"), 3), "price_text": text(c("unit_price"), 6), "net_text": F.concat(text(c("true_net"), 2), F.lit("7"))})
-    return repair.repair_lines(bad).groupBy((c("line_net") == c("true_net")).alias("right"), "repaired").agg(F.count("*").alias("n")).filter("right").select("repaired", (c("n") > 0).alias("some"))
+    return repair.repair_lines(bad).select(*DOC, "ord", "repaired", "quantity", "unit_price", "line_net")
 
 
 def _regroup(a: Audit) -> DataFrame:
@@ -155,10 +156,36 @@ def _documents(a: Audit) -> DataFrame:
 
 
 def _matched(a: Audit) -> DataFrame:
-    """Lines of invoices with names in capitals against the lines as they are, for invoices of distinct articles."""
+    """Lines with names in capitals that lack their last letter, against the lines as they are."""
     lines = a.v.lines.select(*DOC, "ord", "name", "line_net")
-    got = lines.withColumn("name", F.concat(F.upper("name"), F.lit("  ")))
-    return evaluation.match_lines(got, lines, DOC).groupBy(*DOC).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+    got = lines.withColumn("name", F.concat(F.upper(F.expr("left(name, length(name) - 1)")), F.lit("  ")))
+    return evaluation.match_lines(got, lines, DOC).select(*DOC, "got", "want", F.round("score", 6).alias("score"))
+
+
+def _mean_labels(a: Audit) -> DataFrame:
+    """Embeddings as what a model says of rows in four windows; the label is the place of the largest mean."""
+    e = a.v.table("embeddings").select("label", F.floor(F.col("vec_id") / 4).alias("row"), (F.col("vec_id") % 4).alias("window"), F.col("embedding").alias("values"))
+    return pages.mean_labels(e.withColumnRenamed("label", "page"), ["page", "row"]).select("page", "row", "label")
+
+
+def _spread(a: Audit) -> DataFrame:
+    """Lines of orders side by side on a sheet; on some a gutter lies in the middle."""
+    c = F.col
+    n = F.count("*").over(Window.partitionBy("doc"))
+    wide = F.when(c("ord") >= F.floor(n / 2), c("doc") % 3 * 12).otherwise(0)
+    return a.v.printed.select("doc", "ord", (c("ord") * 40 + wide).cast("double").alias("x0"), (c("ord") * 40 + wide + 35).cast("double").alias("x1"), (n * 40 + c("doc") % 3 * 12).cast("double").alias("width"))
+
+
+def _halves(a: Audit) -> DataFrame:
+    words = _spread(a)
+    sheets = words.select("doc", "width", F.when(F.col("doc") % 5 == 0, 100000.0).otherwise(10.0).alias("height")).distinct()
+    return repair.split_halves(words, words, sheets, ["doc"]).select("doc", "ord", "half")
+
+
+def _slots(a: Audit) -> DataFrame:
+    """Where quantities lie between the borders that the lines of an order set."""
+    bounds = a.v.printed.select("doc", (F.col("ord") * 10).cast("double").alias("bound"))
+    return repair.slot(a.v.printed.select("doc", "ord", F.col("quantity").cast("double").alias("pos")), bounds, ["doc"]).select("doc", "ord", "slot")
 
 
 QUERIES = {k: _q(f) for k, f in {
@@ -190,6 +217,10 @@ QUERIES = {k: _q(f) for k, f in {
     "match_lines": _matched,
     "parity_report": lambda a: evaluation.parity_report(_with_cells(a), _with_cells(a).withColumns({"col": F.col("i") % 3, "cell_start": F.col("i") % 3 == 0}), ["conv_id", "ord"], ["col", "cell_start", "role"]),
     "class_by_format": lambda a: evaluation.class_by_format(a.v.table("documents").select(F.col("doc_id").alias("page_id"), F.col("lang").alias("format"), F.col("source").alias("class")), a.v.table("documents").select(F.col("source").alias("class")).distinct()),
+    "strip_pack": lambda a: a.v.lines.select("name").distinct().select("name", strip_pack(F.concat("name", F.lit(" (6er, Type 550)"))).alias("words")),
+    "mean_labels": _mean_labels,
+    "split_halves": _halves,
+    "slot": _slots,
     "piece_weight_audit": lambda a: repair.piece_weight_audit(
         a.v.wares.filter("brand % 5 <> 0").select("product_id", F.when(F.col("brand") % 4 > 0, F.col("brand") * 100).alias("amount"), F.lit("g").alias("unit")),
         a.v.wares.filter("brand % 7 <> 0").select("product_id", (F.col("brand") * 120).alias("amount"), F.when(F.col("brand") % 3 == 0, "ml").otherwise("g").alias("unit")),
@@ -219,7 +250,7 @@ ORACLES = {k: steps(s) for k, s in {
     "containers": """WITH t AS (SELECT DISTINCT name, unit_code FROM lines), w AS (SELECT name, unit_code, unnest(list_append(string_split_regex(name || ' KEG, Kiste', '[ ,;/()]'), unit_code)) AS word FROM t)
         SELECT w.name, w.unit_code, string_agg(DISTINCT u.code, ',' ORDER BY u.code) AS held FROM w JOIN o_lookup u ON u.key = lower(regexp_replace(trim(word), '[.]$', '')) AND u.container GROUP BY ALL""",
     "restore_cells": f"WITH {_EXACT} SELECT case_id, invoice_id, ord, k * 1000 AS quantity, n * 1230000 AS unit_price, true AS restored FROM ex",
-    "repair_lines": "SELECT 'line_net' AS repaired, true AS some",
+    "repair_lines": f"WITH {_EXACT} SELECT case_id, invoice_id, ord, 'line_net' AS repaired, k * 1000 AS quantity, n * 1230000 AS unit_price, k * n * 123 AS line_net FROM ex WHERE k > 1",
     "regroup_quantity": f"WITH {_EXACT} SELECT case_id, invoice_id, ord, CASE WHEN k BETWEEN 1 AND 999 THEN k * 1000 ELSE k * 1000000 END AS quantity FROM ex",
     "distribute_flags": """WITH f AS (SELECT case_id, invoice_id, min(ord % 2) AS first FROM lines GROUP BY ALL)
         SELECT i.case_id, i.invoice_id, 'x' AS code, CAST(2 AS BIGINT) AS line_no, coalesce(l.ord % 2, f.first) AS page, l.ord AS row FROM invoices i LEFT JOIN lines l ON l.case_id = i.case_id AND l.invoice_id = i.invoice_id AND l.no = 2 JOIN f ON f.case_id = i.case_id AND f.invoice_id = i.invoice_id""",
@@ -249,10 +280,17 @@ ORACLES = {k: steps(s) for k, s in {
         UNION ALL SELECT 'header_' || h, CASE WHEN h = 'net_total' THEN (SELECT count(*) FILTER (bad_net = 0) / count(*) FROM doc) ELSE 1.0 END FROM (SELECT unnest(['number', 'date', 'supplier_name', 'net_total', 'gross_total']) AS h) t
         UNION ALL SELECT 'line_' || f, CASE f WHEN 'quantity' THEN (SELECT 1 - sum(bad_q) / sum(n_matched) FROM doc) WHEN 'vat' THEN (SELECT 1 - sum(bad_v) / sum(n_matched) FROM doc) ELSE 1.0 END FROM (SELECT unnest(['name', 'quantity', 'unit_code', 'unit_price', 'line_net', 'vat']) AS f) t
         UNION ALL SELECT 'p90_wrong', CAST(n_wrong AS DOUBLE) FROM r WHERE pos = CAST(round_even(0.9 * ((SELECT n FROM s) - 1), 0) AS BIGINT)""",
-    "match_lines": "SELECT case_id, invoice_id, count(*) AS n, CAST(sum(CASE WHEN line_net <> 0 THEN 1.5 ELSE 1 END) AS DOUBLE) AS score FROM lines GROUP BY ALL",
+    "match_lines": "SELECT case_id, invoice_id, ord AS got, ord AS want, round(CASE WHEN name LIKE '% l' THEN 2 * (l - 2) / (2 * l - 2) ELSE 2 * (l - 1) / (2 * l - 1) END + CASE WHEN line_net <> 0 THEN 0.5 ELSE 0 END, 6) AS score FROM (SELECT *, length(trim(name)) AS l FROM lines) t",
     "parity_report": f"WITH {_TOKEN} SELECT 'col' AS field, count(*) AS n, count(*) FILTER (i * 7 % 3 = i % 3) AS same FROM tok UNION ALL SELECT 'cell_start', count(*), count(*) FILTER ((i % 4 = 0) = (i % 3 = 0)) FROM tok UNION ALL SELECT 'role', count(*), count(*) FROM tok",
     "class_by_format": """SELECT f.format, c.class, CAST(count(d.doc_id) AS BIGINT) AS n_words, f.n_pages, count(d.doc_id) / f.n_pages AS per_page FROM (SELECT lang AS format, count(DISTINCT doc_id) AS n_pages FROM documents GROUP BY lang) f
         CROSS JOIN (SELECT DISTINCT source AS class FROM documents) c LEFT JOIN documents d ON d.lang = f.format AND d.source = c.class GROUP BY f.format, c.class, f.n_pages""",
+    "strip_pack": "SELECT DISTINCT l.name, p_name || CASE p_size % 6 WHEN 1 THEN ' 38 vol' ELSE '' END || ' Type 550' AS words FROM lines l JOIN part ON CAST(p_partkey AS STRING) = l.seller_article_id",
+    "mean_labels": """WITH v AS (SELECT label AS page, vec_id // 4 AS row, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT page, row, i, avg(CAST(x AS DOUBLE)) AS mean FROM v GROUP BY ALL)
+        SELECT page, row, CAST(arg_max(i, mean) AS INTEGER) AS label FROM m GROUP BY page, row""",
+    "split_halves": """WITH t AS (SELECT doc, ord, count(*) OVER (PARTITION BY doc) AS n, doc % 3 * 12 AS gap FROM printed), h AS (SELECT *, n // 2 AS k, 40.0 * n + gap AS width FROM t),
+        m AS (SELECT *, CASE WHEN gap > 0 AND k > 0 AND doc % 5 <> 0 AND abs(40.0 * k - 5 + (gap + 5) / 2.0 - width / 2) < width / 8 THEN 40.0 * k - 5 + (gap + 5) / 2.0 END AS middle FROM h)
+        SELECT doc, ord, CAST(coalesce(ord * 40 + CASE WHEN ord >= k THEN gap ELSE 0 END + 17.5 >= middle, false) AS INTEGER) AS half FROM m""",
+    "slot": "SELECT doc, ord, CAST(CASE WHEN quantity // 10 < n - 1 THEN quantity // 10 ELSE -1 END AS INTEGER) AS slot FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM printed) t",
     "piece_weight_audit": """WITH w AS (SELECT product_id, brand, CASE WHEN brand % 4 > 0 THEN brand * 100 END AS a, brand * 120 AS b, CASE WHEN brand % 3 = 0 THEN 'ml' ELSE 'g' END AS ub FROM wares WHERE brand % 5 <> 0 OR brand % 7 <> 0 OR brand = 11),
         v AS (SELECT *, CASE WHEN brand = 11 THEN 'override' WHEN brand % 5 = 0 OR brand % 7 = 0 THEN 'missing' WHEN coalesce(a > 5000, false) OR b > 5000 THEN 'range' WHEN a IS NULL THEN 'null' WHEN ub <> 'g' THEN 'unit' WHEN abs(a - b) * 100 > greatest(a, b) * 25 THEN 'spread' ELSE 'agreed' END AS verdict FROM w)
         SELECT product_id, CASE verdict WHEN 'override' THEN 5 WHEN 'agreed' THEN (a + b + 1) // 2 END AS amount, CASE WHEN verdict IN ('override', 'agreed') THEN 'g' END AS unit, verdict FROM v""",

@@ -71,7 +71,16 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.class_f1(_labelled(spark, sf_dir)).select("class", "hit", "predicted", "support")
+    return ranking.class_f1(_labelled(spark, sf_dir)).select("class", "hit", "predicted", "support", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")])
+
+
+def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.macro_f1(ranking.class_f1(_labelled(spark, sf_dir))).select("classes", F.round("macro_f1", 9).alias("macro_f1"))
+
+
+def automatic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir).select((F.pmod("doc_id", F.lit(99)) + 1).cast("int").alias("confidence"), (F.col("truth") == F.col("pred")).alias("hit"))
+    return ranking.automatic_share(rows).select("n", "automatic", F.round("share", 9).alias("share"), F.round("precision", 9).alias("precision"))
 
 
 def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +156,8 @@ QUERIES = {
     "rank_wares": rank_wares,
     "top_suggestions": top_suggestions,
     "class_f1": class_f1,
+    "macro_f1": macro_f1,
+    "automatic_share": automatic_share,
     "match_report": match_report,
     "coverage_curve": coverage_curve,
     "latest_rules": latest_rules,
@@ -212,6 +223,8 @@ _VEC = """q AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embed
             - CASE WHEN (w.vec_id % 3 < 2) AND (q.vec_id % 40 < 2) AND NOT (w.vec_id % 3 = q.vec_id % 40) THEN 0.1 ELSE 0 END AS score FROM q JOIN w USING (i) GROUP BY q.vec_id, w.vec_id),
     b AS (SELECT query_id, ware_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, ware_id) AS rank FROM d GROUP BY query_id, ware_id)"""
 _LAB = "lab AS (SELECT doc_id, lang, 'q' || CAST(quality AS STRING) AS truth, CASE WHEN n_chars > 1500 THEN 'q1' ELSE 'q0' END AS pred FROM labels JOIN documents USING (doc_id))"
+_F1 = """n AS (SELECT c AS class, CAST(sum(h) AS BIGINT) AS hit, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(t) AS BIGINT) AS support FROM (SELECT truth AS c, 0 AS p, 1 AS t, CASE WHEN truth = pred THEN 1 ELSE 0 END AS h FROM lab UNION ALL SELECT pred, 1, 0, 0 FROM lab) x GROUP BY c),
+    r AS (SELECT *, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM n), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM r)"""
 _LATEST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events"
 
 ORACLES = {k: steps(s) for k, s in {
@@ -252,7 +265,9 @@ ORACLES = {k: steps(s) for k, s in {
     "import_assortment": """WITH p AS (SELECT case_id, ord, CASE WHEN ord % 3 = 0 OR ord % 7 <> 0 THEN product_id END AS product_id, gross_price FROM case_products)
         SELECT case_id, product_id, gross_price, product_id IS NOT NULL AS resolved FROM (SELECT *, row_number() OVER (PARTITION BY case_id, coalesce(product_id, '?') ORDER BY ord DESC) AS rn FROM p) t WHERE rn = 1""",
     "rank_wares": f"WITH {_VEC} SELECT query_id, ware_id, rank FROM b WHERE rank <= 5",
-    "class_f1": f"WITH {_LAB} SELECT c AS class, CAST(sum(h) AS BIGINT) AS hit, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(t) AS BIGINT) AS support FROM (SELECT truth AS c, 0 AS p, 1 AS t, CASE WHEN truth = pred THEN 1 ELSE 0 END AS h FROM lab UNION ALL SELECT pred, 1, 0, 0 FROM lab) x GROUP BY c",
+    "class_f1": f"WITH {_LAB}, {_F1} SELECT class, hit, predicted, support, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1 FROM f",
+    "macro_f1": f"WITH {_LAB}, {_F1} SELECT count(*) AS classes, round(avg(f1), 9) AS macro_f1 FROM f",
+    "automatic_share": f"WITH {_LAB} SELECT count(*) AS n, count(*) FILTER (doc_id % 99 >= 79) AS automatic, round(count(*) FILTER (doc_id % 99 >= 79) / count(*), 9) AS share, round(count(*) FILTER (doc_id % 99 >= 79 AND truth = pred) / nullif(count(*) FILTER (doc_id % 99 >= 79), 0), 9) AS precision FROM lab",
     "match_report": f"WITH {_LAB} SELECT lang AS grp, count(*) AS n, count(*) FILTER (doc_id % 7 <> 0) AS with_expectation, count(*) FILTER (doc_id % 7 <> 0 AND truth = pred) AS top1, count(*) FILTER (doc_id % 7 <> 0 AND (truth = pred OR doc_id % 3 = 0)) AS top5 FROM lab GROUP BY GROUPING SETS ((lang), ())",
     "coverage_curve": f"WITH {_LAB}, r AS (SELECT truth = pred AS hit, row_number() OVER (ORDER BY doc_id % 99 DESC, CAST(doc_id AS STRING)) AS place, count(*) OVER () AS total FROM lab) SELECT CAST(s AS INTEGER) AS share, count(*) AS n, count(*) FILTER (hit) AS hits FROM r CROSS JOIN (SELECT unnest([25, 50, 75, 100]) AS s) c WHERE place <= total * s // 100 GROUP BY s",
     "top_suggestions": f"""WITH {_VEC}, ex AS (SELECT vec_id AS query_id, 'ware.' || CAST(label AS STRING) AS ware_id FROM embeddings WHERE vec_id % 300 = 0),

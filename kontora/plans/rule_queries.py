@@ -178,6 +178,12 @@ def _touched(a: Audit) -> DataFrame:
     return stored(a.balance(), "balance").select("case_id", "product_id")
 
 
+def _imports(a: Audit) -> DataFrame:
+    c = F.col
+    status = F.when(c("source") == "ubl", "stored").when(c("number").cast("bigint") % 7 == 0, "failed").otherwise("draft")
+    return reports.import_summary(a.v.invoices.select("case_id", c("invoice_id").alias("name"), status.alias("status")), ["case_id"])
+
+
 QUERIES = {k: _q(f) for k, f in {
     "used_by": lambda a: _uses(a).select("case_id", "part_id", "product_id", "per_portion", "portions", "qty", "place"),
     "supply_rows": _supply,
@@ -202,6 +208,7 @@ QUERIES = {k: _q(f) for k, f in {
     "seed_rules": _seed,
     "diff_case": _diff,
     "amend": _amend,
+    "import_summary": _imports,
     "purge": _purge,
     "stale_recipes": _stale,
     "needs_mapping": lambda a: maintenance.needs_mapping(a.v.cases.select("case_id", F.when(F.col("case_no") % 3 > 0, "store").alias("mapped_store"), (F.col("case_no") % 2).alias("mapped_at")), "store", F.lit(1)),
@@ -294,6 +301,9 @@ ORACLES = {k: steps(s) for k, s in {
     "used_in": f"WITH RECURSIVE {_REACHED} SELECT c.case_id, x.part_id, string_agg(DISTINCT p.name, ', ' ORDER BY p.name) AS names FROM case_products c JOIN pair x ON x.src = c.product_id JOIN products p ON p.product_id = c.product_id GROUP BY 1, 2",
     "suggestion_candidates": f"WITH RECURSIVE {_OFFERED} SELECT case_id, product_id FROM offered",
     "suggest_assortment": f"WITH RECURSIVE {_OFFERED}, {_LEFT}, {ORACLE_LEAVES}, {_rounds()}",
+    "import_summary": """WITH i AS (SELECT case_id, invoice_id, CASE WHEN source = 'ubl' THEN 'stored' WHEN CAST(number AS BIGINT) % 7 = 0 THEN 'failed' ELSE 'draft' END AS s FROM invoices)
+        SELECT case_id, count(*) FILTER (s = 'stored') AS stored, count(*) FILTER (s = 'draft') AS drafts, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'stored') || ' Rechnungen übernommen, ' || count(*) FILTER (s = 'draft') || ' zur Durchsicht' AS summary,
+               'Nicht importiert: ' || string_agg(invoice_id, '; ' ORDER BY invoice_id) FILTER (s = 'failed') AS failures FROM i GROUP BY case_id""",
     "rules_date": "SELECT greatest((SELECT max(ts) FROM events), (SELECT max(o_orderdate) FROM orders)) AS changed_at",
     "change_rules": """WITH last AS (SELECT max(event_id) + 1 AS v FROM events), now AS (SELECT user_id, arg_max(event_id, event_id) AS rev, arg_max(props, event_id) AS content, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id)
         SELECT 'product' AS kind, CAST(user_id + 1000000 AS STRING) AS id, v AS rev, CAST(event_id AS STRING) AS content, CAST(NULL AS BIGINT) AS deleted_at FROM events CROSS JOIN last WHERE event_type = 'purchase'

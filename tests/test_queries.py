@@ -13,16 +13,14 @@ def _shown(x):
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
 
-#: Queries that run within seconds on the smallest tables; the others are compared by the driver.
-QUICK = """match_mapping route_summary line_totals check_invoices vat_rows class_of reachable supplier_pairs unify_suppliers rank_wares
-top_suggestions diff_rules text_keys confusions estimate_groups and_more ware_filter used_in change_rules rescale_guard seed_rules
-diff_case amend purge stale_recipes upsert_invoices unseat_default promote_mapping drop_promoted_recipes users_of parse_number
-parse_date unit_text cell_text display_units containers regroup_quantity group_rows cells segments items wrap_rows windows
-label_words truth_coverage ocr_ceiling item_of score_documents score_report match_lines piece_weight_audit build_wordings
-read_vectors structure_score validate_corpus complete_units infer_vat source_row add_charges row_roles read_page_rows""".split()
+#: Queries that take more than some seconds on the smallest tables; run with -m slow, or all with -m "slow or not slow".
+SLOW = """allocation product_rows calculated_totals revenue_by_rate suggest_assortment supply_rows used_by binding_names assemble_invoices
+assemble_headers pick_header_value type_columns place_columns stock_balance stock_unit_flags resolve_yield sellable_stock report_data
+warnings included_lines suggestion_candidates recipe_leaves stream_upsert stream_case_totals stream_map stream_invoices unify_suppliers
+shared_articles auto_map group_exclusions line_groups""".split()
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", [pytest.param(n, marks=pytest.mark.slow) if n in SLOW else n for n in registry.ORACLES])
 def test_against_duckdb(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -35,6 +33,13 @@ def test_against_duckdb(spark, sf, name):
     assert got == rows
 
 
+@pytest.mark.slow
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.ORACLES])
+def test_runs(spark, sf, name):
+    """Queries without SQL; what they give is tested elsewhere."""
+    assert registry.QUERIES[name](spark, sf).count() >= 0
+
+
 def test_allocation_on_driver_tables_keeps_the_identities(spark, sf):
     from kontora.plans.review_queries import whole
 
