@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec, _places, default_vocabulary
-from .common import stored
+from .common import settings, stored
 from .words import slices
 
 #: A text is walked from a new place after so many tokens of A, if B has a token end at one of the next few.
 LANE, TRIES = 1024, 32
+#: Parts of texts that each encoder keeps, bytes of text and rows that are worked on at once: they bound a worker's memory.
+KNOWN, SLICE, BATCH = 150_000, 1_000_000, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Groups with more links than this are counted by their distinct ids, not link by link.
 WIDE = 4096
 
@@ -179,10 +181,10 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     schema = f"slice long, ids array<{kind}>, {', '.join(f'{n} array<long>' for n in numbers)}, sha array<string>, {'text array<string>, ' * groups}link_at binary, link_pair binary, link_n binary, a array<int>, b array<int>, docs array<int>"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Codec.of(path_a, True), Pieces.of(path_b)
+        one, two = Codec.of(path_a, True, KNOWN), Pieces.of(path_b, KNOWN)
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE):
                 texts = pc.binary_join_element_wise(pa.scalar(" "), batch.column(1), "").cast(pa.large_string())
                 raw = texts.cast(pa.large_binary())
                 offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
@@ -217,7 +219,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                 yield pa.RecordBatch.from_pydict(out)
                 number += 1
 
-    made = stored(rows.mapInArrow(walk, schema), "token-slices")
+    with settings(docs.sparkSession, BATCH):
+        made = stored(rows.mapInArrow(walk, schema), "token-slices")
     pairs = made.select("slice", F.posexplode(F.arrays_zip("a", "b", "docs")).alias("at", "p")).select("slice", "at", "p.a", "p.b", "p.docs")
     totals = stored(pairs.groupBy("a", "b").agg(F.sum("docs").alias("count")), "token-pairs")
     top = totals.groupBy("a").agg(F.max("count").alias("top"))
