@@ -29,7 +29,7 @@ from .words import slices
 #: A text is walked from a new place after so many tokens of A, if B has a token end at one of the next few.
 LANE, TRIES = 1024, 32
 #: Parts of texts that each encoder keeps, bytes of text and rows that are worked on at once: they bound a worker's memory.
-KNOWN, SLICE, BATCH = 150_000, 1_000_000, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+KNOWN, SLICE, BATCH = 300_000, 1_000_000, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Groups with more links than this are counted by their distinct ids, not link by link.
 WIDE = 4096
 
