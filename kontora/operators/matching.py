@@ -36,10 +36,10 @@ def _hits(mappings: DataFrame) -> DataFrame:
     c = F.col
     both = F.when(_full(c("supplier_name")).isNotNull() & _full(c("seller_article_id")).isNotNull(), F.concat("supplier_name", F.lit(SEP), "seller_article_id"))
     keys = [_full(c("mapping_id")), both, _full(c("gtin")), _full(canonical_name(c("name")))]
-    keyed = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate(keys)]), lambda x: x.key.isNotNull()))
-    rows = mappings.select(keyed.alias("k"), F.struct("mapping_id", "product_id", "factor", "unit_code", "valid_from", "valid_to").alias("hit"))
+    keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate(keys)]))
+    rows = mappings.select(keyed.alias("k"), F.struct("mapping_id", "product_id", "factor", "unit_code", "valid_from", "valid_to").alias("hit")).filter("k.key is not null")
     first = rows.groupBy("k.tier", "k.key", F.lower(F.coalesce("hit.unit_code", F.lit(""))).alias("_unit"), "hit.valid_from", "hit.valid_to").agg(F.min("hit").alias("hit"))
-    return first.groupBy("tier", "key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    return first.groupBy("tier", "key").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
 
 
 def match_mapping(lines: DataFrame, mappings: DataFrame) -> DataFrame:
