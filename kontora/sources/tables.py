@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import basis_points, cents
+from ..functions.reading import parse_hundredths
 from ..functions.units import unit_table
 
+#: Columns of an assortment file, and how CSV files are written.
+ASSORTMENT = ("Produkt", "Bruttopreis", "USt", "Produkt-ID")
+CSV = {"sep": ";", "escape": '"', "emptyValue": "", "nullValue": "", "lineSep": "\r\n"}
+MARK = "\ufeff"
+
 LINE = "struct<no:bigint,name:string,sellerArticleId:string,gtin:string,quantity:bigint,unitText:string,unitCode:string,unitPrice:bigint,priceBaseQty:bigint,lineNet:bigint,vat:bigint,expectedProductId:string,expectedFactor:bigint>"
 EXPECTED = f"source string, fileName string, supplierName string, supplierVatId string, number string, date string, currency string, netTotal bigint, grossTotal bigint, vatBreakdown array<struct<vat:bigint,net:bigint,tax:bigint>>, lines array<{LINE}>"
 META = "struct<validFrom:string,validTo:string,changedAt:string,changedBy:string,rev:bigint>"
@@ -81,24 +88,32 @@ def find_readings(documents: DataFrame, setup: str, readings: DataFrame) -> tupl
 
 
 def write_assortment_csv(df: DataFrame, path: str) -> None:
-    """Name, gross price (blank when 0), VAT and id, sorted by name, separated by semicolons."""
-    cents = lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0"))
-    out = df.select(F.col("name").alias("Name"), F.when(F.col("gross_price") != 0, cents(F.col("gross_price"))).otherwise("").alias("Bruttopreis"), cents(F.col("vat")).alias("Steuersatz"), F.col("product_id").alias("Id"))
-    out.orderBy("Name", "Id").write.option("sep", ";").option("header", True).option("emptyValue", "").csv(path)
+    """Product, gross price (blank when 0), VAT and id, sorted by name: semicolons, CRLF, byte order mark."""
+    c = F.col
+    price = F.when(c("gross_price") > 0, cents(c("gross_price"))).otherwise("")
+    rows = df.orderBy("name", "product_id").select(c("name").alias(MARK + ASSORTMENT[0]), price.alias(ASSORTMENT[1]), basis_points(c("vat")).alias(ASSORTMENT[2]), c("product_id").alias(ASSORTMENT[3]))
+    rows.write.options(**CSV, header=True).csv(path)
 
 
 def read_assortment_csv(spark: SparkSession, path: str) -> DataFrame:
     """(row, given_id, name, gross_price, vat) of a CSV file whose header names its columns in any order and case.
 
-    The delimiter is what the header holds most of, out of semicolon, comma and tab. A name or id column is needed.
+    The delimiter is what the header holds most of, out of semicolon, comma and tab. Text that is not UTF-8 is Latin-1. A
+    product or id column is needed. Without a price it is 0, without a rate 19 %; what is no number is an error, blank rows
+    are none.
     """
-    head = spark.read.text(path).first()  # the header line
-    first = head.value.lstrip("﻿") if head else ""
+    text = spark.read.text(path)
+    head = text.first()  # the header line
+    if head is None:
+        raise ValueError("an assortment needs a header line")
+    first = head.value.lstrip(MARK)
     sep = max(";,\t", key=lambda c: (first.count(c), -";,\t".index(c)))
-    df = spark.read.option("sep", sep).option("header", True).option("multiLine", True).csv(path)
-    known = {c.lstrip("﻿").strip().lower(): c for c in df.columns}
-    if not {"name", "id"} & known.keys():
-        raise ValueError("an assortment needs a column 'name' or 'id'")
-    get = lambda k: F.col(f"`{known[k]}`") if k in known else F.lit(None).cast("string")
-    number = lambda c: F.round(F.replace(F.replace(F.regexp_replace(c, r"[\s€%]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,2)") * 100, 0).cast("bigint")
-    return df.select((F.monotonically_increasing_id() + 1).alias("row"), F.nullif(F.trim(get("id")), F.lit("")).alias("given_id"), F.trim(get("name")).alias("name"), F.coalesce(number(get("bruttopreis")), F.lit(0)).alias("gross_price"), F.coalesce(number(get("steuersatz")), F.lit(0)).alias("vat"))
+    encoding = "UTF-8" if text.filter(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+    df = spark.read.options(sep=sep, header=True, multiLine=True, encoding=encoding, escape='"').csv(path)
+    known = {c.lstrip(MARK).strip().lower(): c for c in df.columns}
+    if not {ASSORTMENT[0].lower(), ASSORTMENT[3].lower()} & known.keys():
+        raise ValueError(f"an assortment needs a column '{ASSORTMENT[0]}' or '{ASSORTMENT[3]}'")
+    get = lambda k: F.trim(F.col(f"`{known[k.lower()]}`")) if k.lower() in known else F.lit(None).cast("string")
+    number = lambda k, least: F.coalesce(parse_hundredths(get(k)), F.lit(least)).cast("bigint")
+    filled = df.filter(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in df.columns]) != "")
+    return filled.select((F.monotonically_increasing_id() + 1).alias("row"), F.nullif(get(ASSORTMENT[3]), F.lit("")).alias("given_id"), get(ASSORTMENT[0]).alias("name"), number(ASSORTMENT[1], 0).alias("gross_price"), number(ASSORTMENT[2], 1900).alias("vat"))

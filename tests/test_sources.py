@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from kontora.sources import documents as d
 from kontora.sources import tables as s
 
 
@@ -39,10 +40,43 @@ def test_assortment(spark, tmp_path):
     s.write_assortment_csv(df, str(tmp_path / "out"))
     got = sorted((r.given_id, r.name, r.gross_price, r.vat) for r in s.read_assortment_csv(spark, str(tmp_path / "out")).collect())
     assert got == [("p1", "Bier; hell", 450, 1900), ("p2", "Apfel", 0, 700)]
+    files = [p.read_bytes() for p in sorted((tmp_path / "out").glob("*.csv"))]
+    assert all(f.startswith("\ufeffProdukt;Bruttopreis;USt;Produkt-ID\r\n".encode()) for f in files)
+    assert b"".join(f.split(b"\r\n", 1)[1] for f in files) == 'Apfel;;7 %;p2\r\n"Bier; hell";4,50 €;19 %;p1\r\n'.encode()
     (tmp_path / "bad.csv").write_text("preis\n1\n")
     with pytest.raises(ValueError):
         s.read_assortment_csv(spark, str(tmp_path / "bad.csv"))
 
 
+def test_assortment_of_other_programs(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes('ust,PRODUKT,bruttopreis\r\n7,"Käse, ""alt""",1.50\r\n ,, \r\n,Brötchen,\r\n'.encode("latin-1"))
+    got = sorted((r.name, r.given_id, r.gross_price, r.vat) for r in s.read_assortment_csv(spark, str(tmp_path / "latin.csv")).collect())
+    assert got == [("Brötchen", None, 0, 1900), ('Käse, "alt"', None, 150, 700)]
+
+
+def test_invoice_csv(spark, tmp_path):
+    head = spark.createDataFrame([("i1", "Bar", "a.pdf", "ubl", 'Meier; "Söhne"', "7", None, 123456, -5, None)], "invoice_id string, case_label string, file_name string, source string, supplier_name string, number string, date date, net_total long, gross_total long, verified string")
+    rows = [("i1", 1, 1, "Pils\n0,5 l", None, "40", 1500, "XCS", 1250000, 187, 1900, "Bier"), ("i1", 2, 2, "Rest", "9", None, 1000, None, 1000000, 100, 700, None)]
+    lines = spark.createDataFrame(rows[::-1], "invoice_id string, ord long, no long, name string, seller_article_id string, gtin string, quantity long, unit_code string, unit_price long, line_net long, vat long, product string")
+    d.write_invoice_csv(head, lines, str(tmp_path / "i"))
+    (file,) = (tmp_path / "i" / "invoice_id=i1").glob("*.txt")
+    want = ["\ufeffPrüfung;Bar", "Datei;a.pdf", "Quelle;ubl", 'Lieferant;"Meier; ""Söhne"""', "Rechnungsnummer;7", "Datum;", "Netto;1.234,56 €", "Brutto;-0,05 €", "Durchsicht;", ""]
+    want += ["Zeile;Position;Artikelnummer;GTIN;Menge;Einzelpreis;Netto;USt;Zuordnung", '1;"Pils\n0,5 l";;40;1,5 XCS;1,25 €;1,87 €;19 %;Bier', "2;Rest;9;;1;1,00 €;1,00 €;7 %;ungeklärt", ""]
+    assert file.read_bytes().decode() == "\r\n".join(want)
+
+
+def test_guideline(spark, tmp_path):
+    satz = {"aufschlag": {"von": 150, "bis": 300, "mittel": 220}, "rohgewinnI": {"mittel": 60}}
+    klasse = {"name": "Schankwirtschaft", "kennzahlen": ["5610", "5630"], "staffeln": [{"bis": 100, "sätze": satz}, {"von": 100, "sätze": {}}]}
+    amount = {"von": "2024-01-01", "bis": "2024-06-30", "gewerbezweig": "Bäckerei", "ermäßigt": 100, "voll": 20, "gesamt": 120}
+    (tmp_path / "g.json").write_text(json.dumps({"year": 2024, "klassen": [klasse], "synonyme": [{"begriff": "Bar", "klasse": "Schankwirtschaft"}], "pauschbeträge": [amount]}))
+    t = d.read_guideline(spark, str(tmp_path / "g.json"))
+    assert sorted((r.code, r.band, r.above, r.upto, r.rate_from, r.rate_to, r.rate_mean) for r in t["bands"].collect()) == [(k, b, *x) for k in ("5610", "5630") for b, x in ((0, (None, 100, 15000, 30000, 22000)), (1, (100, None, None, None, None)))]
+    assert sorted((r.band, r.kind, r.rate_from, r.rate_mean) for r in t["rates"].collect()) == [(0, "aufschlag", 15000, 22000), (0, "rohgewinnI", None, 6000)]
+    assert [tuple(r) for r in t["synonyms"].collect()] == [(2024, 0, "Bar", "Schankwirtschaft")]
+    (r,) = t["flat_amounts"].collect()
+    assert (str(r.valid_from), str(r.valid_to), r.trade, r.reduced, r.full, r.total) == ("2024-01-01", "2024-06-30", "Bäckerei", 100, 20, 120)
+
+
 def test_units(spark):
     assert s.read_units(spark).select("code").distinct().count() == 25
