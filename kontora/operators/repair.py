@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_div, wide
 from ..functions.reading import parse_number, unit_code
+from . import ordered
 
 #: Pairs of digits that a worn scan takes for each other, and the shape of a grouped number.
 CONFUSED = "08 06 09 17 38 56 58 68 69 27 49 39".split()
@@ -206,9 +207,7 @@ def piece_weight_audit(first: DataFrame, second: DataFrame, overrides: DataFrame
 
 def cluster_1d(points: DataFrame, keys: list[str], gap: float = 2.0) -> DataFrame:
     """points (keys…, at) with cluster: a new one where the distance to the point before is more than gap."""
-    order = Window.partitionBy(*keys).orderBy("at")
-    new = F.when(F.col("at") - F.lag("at").over(order) > gap, 1).otherwise(0)
-    return points.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order)).drop("_new")
+    return ordered.clusters(points, keys, "at", gap)
 
 
 #: The least width of a gutter between two printed pages, and how far from the middle it may lie, in sheet widths.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import FULL, WIDE, round_div, trunc_div, wide
 from ..functions.units import base_unit, converted_quantity, factor, pack_size, to_base, unit
 from ..shared import stored
+from . import ordered
 from .matching import match_mapping
 
 DEPOSIT = "prod.pfand"
@@ -145,5 +146,4 @@ def included_lines(lines: DataFrame, excluded: DataFrame) -> DataFrame:
     """Lines of invoices that are in no list of excluded lines, keyed by invoice and printed number, with their place by date and number."""
     key = ["case_id", "invoice_id", "no"]
     left = lines.join(excluded.select(*key).distinct(), key, "left_anti")
-    order = Window.partitionBy("case_id").orderBy(F.col("date"), F.col("number"), F.col("invoice_id"), F.col("ord"))
-    return left.withColumn("place", F.row_number().over(order).cast("bigint"))
+    return ordered.numbered(left, ["case_id"], ["date", "number", "invoice_id", "ord"], "place")
