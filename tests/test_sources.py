@@ -80,3 +80,20 @@ def test_guideline(spark, tmp_path):
 
 def test_units(spark):
     assert s.read_units(spark).select("code").distinct().count() == 25
+
+
+def test_written_invoices_lie_in_few_files(spark, sf):
+    """Files grow with the lines, 20 000 to a file, not with the invoices; each has one root."""
+    import glob
+
+    from kontora.plans.audit_queries import Audit
+    from kontora.plans.corpus_queries import ubl_files
+
+    a = Audit(spark, sf)
+    lines, path = a.v.table("lineitem").count(), ubl_files(a)
+    files = glob.glob(f"{path.removeprefix('file://')}/file=*/part-*")
+    assert len(files) == 1 + lines // 20_000
+    for f in files:
+        text = open(f, encoding="utf-8").read().split("\n")
+        assert text[0] == "<All>" and [x for x in text if x][-1] == "</All>" and text.count("</All>") == 1
+    assert d.read_ubl(spark, path)[1].count() == a.v.lines.count()
