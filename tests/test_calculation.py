@@ -138,3 +138,17 @@ def test_packing_is_best():
         assert fits(counts.tolist())
         best = max(sum(x * v for x, v in zip(c, value, strict=True)) for c in itertools.product(range(13), repeat=len(value)) if fits(c))
         assert sum(x * v for x, v in zip(counts.tolist(), value, strict=True)) == best
+
+
+def test_calculation_over_tables_writes_the_columns_it_needs(spark, sf, monkeypatch):
+    """Routed lines are written without what no list of the report is made of."""
+    from kontora.operators import stock
+    from kontora.plans import audit_queries, calculate
+
+    wrote = {}
+    real = audit_queries.stored
+    monkeypatch.setattr(audit_queries, "stored", lambda df, what: wrote.setdefault(what, df.columns) and real(df, what))
+    audit_queries.Audit(spark, sf).balance()
+    assert "routed" not in wrote  # read once
+    audit_queries.Audit(spark, sf).routed(kept=stock.BALANCED)
+    assert tuple(wrote["routed"]) == stock.BALANCED and set(calculate.REPORTED) >= set(stock.BALANCED)
