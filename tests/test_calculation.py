@@ -152,3 +152,14 @@ def test_calculation_over_tables_writes_the_columns_it_needs(spark, sf, monkeypa
     assert "routed" not in wrote  # read once
     audit_queries.Audit(spark, sf).routed(kept=stock.BALANCED)
     assert tuple(wrote["routed"]) == stock.BALANCED and set(calculate.REPORTED) >= set(stock.BALANCED)
+
+
+def test_supply_is_worked_out_once(spark, sf, monkeypatch):
+    """Supply rows and suggestions take what is left from the stock that they have."""
+    from kontora.plans import rule_queries
+    from kontora.plans.audit_queries import Audit
+
+    calls, real = [], Audit.sellable
+    monkeypatch.setattr(Audit, "sellable", lambda a: calls.append(1) or real(a))
+    rule_queries._supply(Audit(spark, sf))
+    assert len(calls) == 1
