@@ -48,3 +48,14 @@ def test_allocation_on_driver_tables_keeps_the_identities(spark, sf):
         assert t.purchases - t.unmapped_cost - t.unused_cost - t.no_revenue_cost == t.cost_of_goods + t.stock_change
     used = report.allocation.filter("kind = 'stock' and n < 0").count()
     assert used == 0
+
+
+def test_display_units_of_large_keys(spark, tmp_path):
+    """Keys above those of the small tables give what the SQL gives."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(7,), (99_999,), (100_000,), (1_234_567,)], "l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(registry.ORACLES["display_units"])
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(r) for r in registry.QUERIES["display_units"](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
