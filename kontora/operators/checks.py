@@ -48,10 +48,11 @@ def check_invoices(invoices: DataFrame, lines: DataFrame) -> DataFrame:
 def verify(invoices: DataFrame, lines: DataFrame, flags: DataFrame, automatic: bool = True) -> DataFrame:
     """invoices with accepted: complete and without a flag (automatic), or without a blocking flag (confirmed by a person)."""
     c = F.col
-    blocking = (c("code") == "line_total") | ((c("code") == "sum_net") & c("stated_net").isNull())
-    found = flags.join(invoices.select(*KEY, "stated_net"), KEY).groupBy(*KEY).agg(F.count("*").alias("n_flags"), F.count_if(blocking).alias("n_blocking"))
+    said = lambda code: F.count_if(c("code") == code)
+    found = flags.groupBy(*KEY).agg(F.count("*").alias("n_flags"), said("line_total").alias("_total"), said("sum_net").alias("_sum"))
     n = lines.groupBy(*KEY).agg(F.count("*").alias("n_lines"))
-    both = invoices.join(found, KEY, "left").join(n, KEY, "left").na.fill(0, ["n_flags", "n_blocking", "n_lines"])
+    both = invoices.join(found, KEY, "left").join(n, KEY, "left").na.fill(0, ["n_flags", "_total", "_sum", "n_lines"])
+    both = both.withColumn("n_blocking", c("_total") + F.when(c("stated_net").isNull(), c("_sum")).otherwise(0))
     complete = (c("n_flags") == 0) & (c("n_lines") > 0) & (F.coalesce("supplier_name", F.lit("")) != "") & (F.coalesce("number", F.lit("")) != "") & c("date").isNotNull() & (F.coalesce("stated_net", F.lit(0)) > 0) & (F.coalesce("stated_gross", F.lit(0)) > 0)
     return both.withColumn("accepted", complete if automatic else c("n_blocking") == 0).select(*invoices.columns, "n_flags", "n_blocking", "accepted")
 
