@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reading import containers, wording
 from ..functions.text import canonical_name, title_if_upper
+from ..shared import stored
 from .matching import match_mapping
 
 LEAST = 80
@@ -63,7 +64,7 @@ def auto_map(lines: DataFrame, mappings: DataFrame, suggested: DataFrame, prefix
     of one key make one mapping, that of the first line; later lines find it as any other mapping.
     """
     c = F.col
-    matched = match_mapping(lines, mappings)
+    matched = stored(match_mapping(lines, mappings), "matched-lines")
     open_ = matched.filter("match_id is null").drop("match_id", "product_id", "match_factor")
     full = lambda x: F.coalesce(c(x), F.lit("")) != ""
     by_article = full("supplier_name") & full("seller_article_id")
@@ -79,6 +80,7 @@ def auto_map(lines: DataFrame, mappings: DataFrame, suggested: DataFrame, prefix
         F.when(~by_article, c("name")).alias("name"), F.when(full("unit_code"), c("unit_code")).alias("unit_code"), c("_ware").alias("product_id"), none.cast("bigint").alias("factor"),
         F.lit(False).alias("confirmed"), none.cast("date").alias("valid_from"), none.cast("date").alias("valid_to"),
     )
+    own = stored(own, "own-mappings")
     # a case's own mapping holds for its lines only
     apart = lambda df, name: df.withColumn(name, F.concat_ws("\x1f", "case_id", name))
     again = match_mapping(apart(open_.withColumn("_as_printed", c("supplier_name")).withColumn("_name_printed", c("name")), "supplier_name").withColumn("name", F.concat_ws(" ", "case_id", "name")), apart(own, "supplier_name").withColumn("name", F.when(c("name").isNotNull(), F.concat_ws(" ", "case_id", "name"))))

@@ -36,7 +36,7 @@ def _vectors(a: Audit) -> DataFrame:
 
 def _auto(a: Audit) -> DataFrame:
     c = F.col
-    lines = a.v.lines
+    lines = a.v.write("lines", "case_id", "invoice_id", "ord", "supplier_name", "date", "name", "seller_article_id", "gtin", "unit_code", "mapping_id")
     best = lines.join(a.v.table("part").select(c("p_partkey").cast("string").alias("seller_article_id"), F.concat_ws(".", F.lit("prod"), "p_brand", "p_type").alias("ware")), "seller_article_id")
     suggested = best.select("case_id", "invoice_id", "ord", c("ware").alias("product_id"), (F.lit(60) + c("seller_article_id").cast("int") % 40).alias("confidence"))
     own, matched = mapping.auto_map(lines, a.v.mappings, suggested)
