@@ -25,6 +25,9 @@ AGREE = 4
 #: A text is cut before a blank or line feed that follows anything but white space: there, and whatever stands around
 #: it, the vocabulary's splitting rule always ends a word. Texts with other white space are encoded in one go.
 _ODD = re.compile("[^\\S \n]|᠎")
+#: ASCII letters and digits, and signs. The rule also ends a word between these two.
+_WORD = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_SIGNS = np.array([32 < b < 127 for b in range(256)]) & ~_WORD
 #: Bytes of other white space, and first two bytes of the longer ones (and of some other characters).
 _ODD_BYTES = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 _ODD_PAIRS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)))
@@ -60,7 +63,8 @@ def _grown(a: np.ndarray, size: int) -> np.ndarray:
 class Parts:
     """Parts of texts that were met before: their bytes and their ids, in arrays, found by fingerprint.
 
-    Beyond `most` parts, those not met since the last time are forgotten.
+    Beyond `most` parts, those that were not met again since the last time are forgotten, and of the others the older ones
+    beyond half of `most`.
     """
 
     def __init__(self, most: int):
@@ -80,7 +84,7 @@ class Parts:
         n, new = self.count, len(keys)
         self.keys, self.met = _grown(self.keys, n + new), _grown(self.met, n + new)
         self.data_at, self.ids_at = _grown(self.data_at, n + new + 1), _grown(self.ids_at, n + new + 1)
-        self.keys[n : n + new], self.met[n : n + new] = keys, True
+        self.keys[n : n + new], self.met[n : n + new] = keys, False
         for at, name, items, kind in ((self.data_at, "data", raw, np.uint8), (self.ids_at, "ids", ids, np.dtype("<u4"))):
             flat = np.frombuffer(b"".join(items), kind)
             at[n + 1 : n + new + 1] = at[n] + np.cumsum([len(x) // flat.itemsize for x in items])
@@ -97,10 +101,9 @@ class Parts:
         self.count = count
 
     def shrink(self) -> None:
-        """Forget the parts that were not met since the last time."""
+        """Forget the parts that were not met again since the last time, and the older ones of too many."""
         keep = np.flatnonzero(self.met[: self.count])
-        if len(keep) > self.most // 2:
-            keep = keep[:0]
+        keep = keep[max(0, len(keep) - self.most // 2) :]
         for name, at_name in (("data", "data_at"), ("ids", "ids_at")):
             at, flat = getattr(self, at_name), getattr(self, name)
             sizes = at[keep + 1] - at[keep]
@@ -128,6 +131,8 @@ class Codec:
         bytes_of, added = _char_bytes(), self.lib.get_added_tokens_decoder()
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self._tokens([added[i].content.encode() if i in added else bytes(bytes_of[c] for c in self.lib.id_to_token(i)) for i in range(size)])
+        self.signs = _SIGNS.copy()
+        self.signs[list(b"".join(t.content.encode() for t in added.values()))] = False  # so that no added token is cut
 
     def _tokens(self, table: list[bytes]) -> None:
         """The bytes of each token, and arrays made of them."""
@@ -173,11 +178,12 @@ class Codec:
         keys, first, number = np.unique(Ranges(byte_table(5)[data], BYTE_BASE).of(starts, ends), return_index=True, return_inverse=True)
         slots = known.find(keys)
         new = np.flatnonzero(slots < 0)
+        known.met[slots[slots >= 0]] = True
         if known.count + len(new) > known.most:
-            known.met[slots[slots >= 0]] = True
             known.shrink()
             slots = known.find(keys)
             new = np.flatnonzero(slots < 0)
+            known.met[slots[slots >= 0]] = True
         sizes = ends - starts
         size = sizes[first[new]]
         new = new[np.argsort(size > self.cached_bytes, kind="stable")]  # long ones last, to be forgotten again
@@ -186,7 +192,6 @@ class Codec:
             raw = [data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             slots[new] = np.arange(known.count, known.count + len(new))
             known.add(keys[new], raw, self._new(raw))
-        known.met[slots] = True
         slot = slots[number]
         # the bytes themselves are compared, so that no two parts are taken for each other
         same = known.data_at[slot + 1] - known.data_at[slot] == sizes
@@ -225,12 +230,23 @@ class Codec:
             place = np.cumsum(plain) - 1
             each = [np.frombuffer(own[k], "<u4") if k in own else ids[at[place[k]] : at[place[k] + 1]] for k in range(len(texts))]
             return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        return self._cut_at(data, offsets, (data == 32) | (data == 10))
-
-    def _cut_at(self, data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, encoded in parts that begin at white bytes after others."""
+        white = (data == 32) | (data == 10)
+        return self._cut_at(data, offsets, white, self._tails(data, white))
+
+    def _tails(self, data: np.ndarray, white: np.ndarray) -> np.ndarray:
+        """Places where nothing but signs follows a letter or digit up to the next white byte: words that differ in such
+        signs only share a part."""
+        sign = self.signs[data]
+        at = np.flatnonzero(sign[1:] & _WORD[data[:-1]]) + 1
+        others = np.append(np.flatnonzero(~sign), len(data))
+        return at[np.append(white, True)[others[np.searchsorted(others, at)]]]
+
+    def _cut_at(self, data: np.ndarray, offsets: np.ndarray, white: np.ndarray, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, encoded in parts that begin at white bytes after others, and at tails."""
         begins = np.zeros(len(data) + 1, bool)
         begins[1:-1] = white[1:] & ~white[:-1]
+        if tails is not None:
+            begins[tails] = True
         begins[offsets] = True
         starts = np.flatnonzero(begins[:-1])
         ends = np.append(starts[1:], len(data))

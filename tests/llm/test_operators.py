@@ -89,6 +89,25 @@ def test_parts_are_found_again_forgotten_and_told_apart():
         assert len(codec.known.slots) == codec.known.count <= 200
 
 
+def test_words_with_other_signs_share_a_part():
+    codec = bpe.Codec(bpe.default_vocabulary(), cache_size=1000)
+    texts = ["a colldo", "a colldo, b2... colldo%%%", "a colldo<|endoftext|>. colldo's", "x, colldo", ",. a", ""]
+    assert codec.encode(texts) == codec._whole(texts)
+    held = [codec.known.data[a:b].tobytes() for a, b in zip(codec.known.data_at[: codec.known.count], codec.known.data_at[1:], strict=False)]
+    assert held.count(b" colldo") == 1 and b" colldo," not in held and b"..." in held
+
+
+def test_parts_that_came_again_are_not_forgotten():
+    codec = bpe.Codec(bpe.default_vocabulary(), cache_size=100)
+    calls, make = Counter(), codec._new
+    codec._new = lambda raw: calls.update(raw) or make(raw)
+    often = " ".join(f"often{k}q" for k in range(20))
+    for n in range(20):
+        texts = [often, " ".join(f"once{n}q{k}q" for k in range(30))]
+        assert codec.encode(texts) == codec._whole(texts) and codec.known.count <= 100
+    assert max(n for part, n in calls.items() if b"often" in part) == 1
+
+
 def test_long_unsplit_texts(spark):
     from tokenizers import Tokenizer
 
