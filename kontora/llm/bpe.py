@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .words import BYTE_BASE, Ranges, byte_table, slices
 
 PIECE = 32768
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 AGREE = 4
 #: A text is cut before a blank or line feed that follows anything but white space: there, and whatever stands around
 #: it, the vocabulary's splitting rule always ends a word. Texts with other white space are encoded in one go.
@@ -68,17 +68,18 @@ class Parts:
     """
 
     def __init__(self, most: int):
-        self.most = most
-        self.slots: dict[int, int] = {}
-        self.count = 0
+        self.most, self.count = most, 0
+        self.sorted, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)  # fingerprints in order, and whose they are
         self.keys, self.met = np.empty(1024, np.uint64), np.empty(1024, bool)
         self.data_at, self.ids_at = np.zeros(1025, np.int64), np.zeros(1025, np.int64)
         self.data, self.ids = np.empty(1 << 14, np.uint8), np.empty(1 << 14, np.uint32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of fingerprints, -1 for new ones."""
-        get = self.slots.get
-        return np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        if not len(self.sorted):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == keys, self.slots[at], -1)
 
     def add(self, keys: np.ndarray, raw: list[bytes], ids: list[bytes]) -> None:
         n, new = self.count, len(keys)
@@ -91,19 +92,21 @@ class Parts:
             held = _grown(getattr(self, name), int(at[n + new]))
             held[at[n] : at[n + new]] = flat
             setattr(self, name, held)
-        self.slots.update(zip(keys.tolist(), range(n, n + new), strict=True))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.sorted, keys[order])
+        self.sorted, self.slots = np.insert(self.sorted, at, keys[order]), np.insert(self.slots, at, n + order)
         self.count = n + new
 
     def cut(self, count: int) -> None:
         """Forget all parts but the first `count`."""
-        for k in self.keys[count : self.count].tolist():
-            del self.slots[k]
-        self.count = count
+        if count < self.count:
+            stay = self.slots < count
+            self.sorted, self.slots, self.count = self.sorted[stay], self.slots[stay], count
 
-    def shrink(self) -> None:
+    def shrink(self, most: int | None = None) -> None:
         """Forget the parts that were not met again since the last time, and the older ones of too many."""
         keep = np.flatnonzero(self.met[: self.count])
-        keep = keep[max(0, len(keep) - self.most // 2) :]
+        keep = keep[max(0, len(keep) - (self.most // 2 if most is None else most)) :]
         for name, at_name in (("data", "data_at"), ("ids", "ids_at")):
             at, flat = getattr(self, at_name), getattr(self, name)
             sizes = at[keep + 1] - at[keep]
@@ -111,7 +114,8 @@ class Parts:
             setattr(self, at_name, _grown(np.concatenate([[0], np.cumsum(sizes)]), 1025))
         self.keys, self.count = _grown(self.keys[keep], 1024), len(keep)
         self.met = _grown(np.zeros(len(keep), bool), 1024)
-        self.slots = dict(zip(self.keys[: len(keep)].tolist(), range(len(keep)), strict=True))
+        self.slots = np.argsort(self.keys[: len(keep)])
+        self.sorted = self.keys[self.slots]
 
 
 class Codec:
@@ -233,6 +237,11 @@ class Codec:
         white = (data == 32) | (data == 10)
         return self._cut_at(data, offsets, white, self._tails(data, white))
 
+    def rest(self) -> None:
+        """Between two tasks a worker keeps only parts that come again, as it may wait while others work."""
+        if self.known.count > self.known.most // 4:
+            self.known.shrink(self.known.most // 8)
+
     def _tails(self, data: np.ndarray, white: np.ndarray) -> np.ndarray:
         """Places where nothing but signs follows a letter or digit up to the next white byte: words that differ in such
         signs only share a part."""
@@ -357,14 +366,16 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([b.column(0), *_coded(b.column(1), codec)], names=["id", "n_tokens", "ids", "decoded"])
+        codec.rest()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            for b in slices(batch, 3):
+            for b in slices(batch, 3, BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], _coded(b.column(3), codec)[1]], names=["row", "id", "no", "ids"])
+        codec.rest()
 
     def whole(table: pa.Table) -> pa.Table:
         codec = Codec.of(path)

@@ -104,6 +104,7 @@ def write(docs: DataFrame, folder: str, end_id: int | None, id_col: str = "doc_i
                 index.write_batch(pa.record_batch(columns, schema=keys))
                 writer.add(ids)
                 docs_in += len(some)
+        codec.rest()
         if writer is None:
             return
         writer.close()

@@ -108,6 +108,15 @@ def test_parts_that_came_again_are_not_forgotten():
     assert max(n for part, n in calls.items() if b"often" in part) == 1
 
 
+def test_a_waiting_worker_keeps_few_parts():
+    codec = bpe.Codec(bpe.default_vocabulary(), cache_size=800)
+    texts = [" ".join(f"w{k % 300}q{k // 7}" for k in range(a, a + 400)) for a in (0, 100, 200, 300, 0)]
+    assert codec.encode(texts[:1]) and codec.encode(texts) == codec._whole(texts) and codec.known.count > 200
+    codec.rest()
+    assert 0 < codec.known.count == len(codec.known.slots) <= 100
+    assert len(codec.known.data) + 4 * len(codec.known.ids) < 200_000 and codec.encode(texts) == codec._whole(texts)
+
+
 def test_long_unsplit_texts(spark):
     from tokenizers import Tokenizer
 
