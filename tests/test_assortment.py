@@ -78,3 +78,28 @@ def test_suggestions_of_a_bar(spark):
     assert got[0][0] in ("cigar", "cigarettes") and sorted(p for p, _ in got[:2]) == ["cigar", "cigarettes"]
     fewer = suggest_assortment(cases, rules, codes, make([(c, "cigar")], "case_id string, product_id string"))
     assert "cigar" not in {r.product_id for r in fewer.collect()}
+
+
+def test_query_offers_what_only_the_second_calculation_stocks(sf):
+    """Wares that nothing listed contains are in stock once they are offered, in the query's SQL as in the calculation."""
+    import duckdb
+
+    from kontora import registry, views
+
+    con = duckdb.connect()
+    for t in views.BASE:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = set(con.execute(registry.ORACLES["suggest_assortment"]).fetchall())
+    reached = set(con.execute(registry.ORACLES["reachable"]).fetchall())
+    assert {(c, p) for c, p, _ in got if p.startswith("prod.")} - reached and {place for _, _, place in got} == set(range(1, 6))
+
+
+def test_query_hands_given_portions_to_the_calculation(spark, sf, monkeypatch):
+    from kontora.plans import rule_queries
+
+    monkeypatch.setattr(rule_queries, "suggest_assortment", lambda cases, rules, codes, dismissed: (cases, rules, codes, dismissed))
+    cases, rules, codes, dismissed = rule_queries._suggest(rule_queries.Audit(spark, sf))
+    menus = {(r.case_id, r.product_id) for r in cases.case_products.collect()}
+    given = {(r.case_id, r.product_id): r.portions for r in cases.pinned.collect()}
+    assert given and all(n > 0 and (c, p) in menus and (c, p.replace("sold.a", "sold.b")) in menus for (c, p), n in given.items())
+    assert rules.products.count() > 0 and codes.count() > 0 and dismissed.count() > 0
