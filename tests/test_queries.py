@@ -59,3 +59,13 @@ def test_display_units_of_large_keys(spark, tmp_path):
     want = con.execute(registry.ORACLES["display_units"])
     columns = [d[0] for d in want.description]
     assert sorted(tuple(r) for r in registry.QUERIES["display_units"](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
+
+
+def test_included_lines_are_numbered_by_what_orders_them(spark, sf, monkeypatch):
+    """Names and amounts of lines are not written to number them."""
+    from kontora.operators import stock
+
+    seen = []
+    monkeypatch.setattr(stock, "included_lines", lambda lines, excluded: seen.append(lines.columns) or lines.withColumn("place", lines["ord"]))
+    registry.QUERIES["included_lines"](spark, sf)
+    assert seen == [["case_id", "invoice_id", "ord", "no", "number", "date"]]
