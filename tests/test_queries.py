@@ -69,3 +69,21 @@ def test_included_lines_are_numbered_by_what_orders_them(spark, sf, monkeypatch)
     monkeypatch.setattr(stock, "included_lines", lambda lines, excluded: seen.append(lines.columns) or lines.withColumn("place", lines["ord"]))
     registry.QUERIES["included_lines"](spark, sf)
     assert seen == [["case_id", "invoice_id", "ord", "no", "number", "date"]]
+
+
+def test_packed_invoice_files_say_the_same(spark, sf):
+    """Files are packed and hold every invoice closed, in one root, with its lines in order."""
+    import gzip
+    from pathlib import Path
+
+    from kontora.plans.audit_queries import Audit
+    from kontora.plans.corpus_queries import ubl_files
+
+    packed, plain = (Path(ubl_files(Audit(spark, sf), codec=k).removeprefix("file:")) for k in ("gzip", "none"))
+    files = sorted(packed.rglob("part-*"))
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    texts = sorted(gzip.decompress(f.read_bytes()).decode() for f in files)
+    assert texts == sorted(f.read_text() for f in plain.rglob("part-*"))
+    for t in texts:
+        assert t.startswith("<All>") and t.rstrip().endswith("</All>") and t.count("<Invoice ") == t.count("</Invoice>") > 0
+        assert all(part.count("<cac:InvoiceLine>") >= 1 for part in t.split("</Invoice>")[:-1])
