@@ -87,3 +87,10 @@ def test_packed_invoice_files_say_the_same(spark, sf):
     for t in texts:
         assert t.startswith("<All>") and t.rstrip().endswith("</All>") and t.count("<Invoice ") == t.count("</Invoice>") > 0
         assert all(part.count("<cac:InvoiceLine>") >= 1 for part in t.split("</Invoice>")[:-1])
+
+
+def test_scores_read_lines_that_are_written_once(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(views, "stored", lambda df, what, real=views.stored: made.append((what, len(df.columns))) or real(df, what))
+    registry.QUERIES["score_report"](spark, sf)
+    assert made == [("lines", 11)]
